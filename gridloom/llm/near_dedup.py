@@ -10,8 +10,11 @@ registers are the bands; 42 of them miss a pair at 0.85 with probability 2e-9, a
 3. Pairs whose collision-corrected estimate isn't five deviations below the threshold are confirmed on their full sets. For that the
    texts of a class and of those paired with it meet in one task, in salted parts of bounded size.
 4. Components are formed. Buckets whose members are all in one component are done. In the others members in different components are
-   compared by their registers block by block inside a task, so only pairs that look alike are emitted, confirmed as before,
-   and joined to the components. No cap is set anywhere.
+   compared block by block inside a task, by their registers and then by their full sets, so only links are emitted and joined to the
+   components. No cap is set anywhere.
+
+Joins of tables that grow with the input are sort-merge joins at every size, so a plan tested on little data is the plan for much, and the
+engine may split their hot keys.
 
 Defined results: null, empty and wordless texts have no shingle, are linked with nothing and are kept; rows that repeat a doc_id are
 one document and share a component; rows without doc_id keep a null component and are kept; other columns aren't touched.
@@ -41,7 +44,7 @@ class NearDedupConfig:
     percent: int = 85
     rows: int = 6
     part: int = 1000
-    block: int = 400
+    block: int = 2000
 
 
 _PROBES = (mix(np.arange(48 * BUCKETS, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64).reshape(48, BUCKETS)
@@ -138,7 +141,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, config: NearDedupConfig) ->
         return pa.array((estimate(a, b, n_a, n_b) >= least_estimate(n_a, n_b, t)) & (np.minimum(n_a, n_b) >= t * np.maximum(n_a, n_b) - 1e-9))
 
     side = lambda x: classes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
     return both.where(alike("n_a", "n_b", "r_a", "r_b")).select("a", "b")
 
 
@@ -148,7 +151,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, config: NearDedupConfig) -> Da
     members = pairs.join(spread, "a").select("a", F.pmod(F.hash("b"), F.col("parts")).alias("part"), F.col("b").alias("id"))
     heads = spread.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    met = members.union(heads).join(texts, "id").select("a", "part", (F.col("a") != F.col("id")).alias("member"), "id", "text")
+    met = members.union(heads).join(texts.hint("merge"), "id").select("a", "part", (F.col("a") != F.col("id")).alias("member"), "id", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, []
@@ -171,48 +174,59 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, config: NearDedupConfig) -> Da
     return met.repartition("a", "part").sortWithinPartitions("a", "part", "member").mapInArrow(compare, "u bigint, v bigint")
 
 
-def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, config: NearDedupConfig) -> DataFrame:
-    """In buckets that hold more than one component, pairs of members of different ones whose registers look alike."""
+def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, config: NearDedupConfig) -> DataFrame:
+    """In buckets that hold more than one component, the links between members of different ones: u, v.
+
+    Members meet block by block; registers tell which pairs may reach the threshold, the full sets whether they do. A pair that shares several
+    buckets is confirmed in that of its first common band.
+    """
     t = config.percent / 100
-    placed = shared.join(labels, shared["id"] == labels["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = shared.join(labels.hint("merge"), shared["id"] == labels["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     mixed = mixed.select("key", F.ceil(F.col("n") / config.block).cast("int").alias("blocks"))
     rows = placed.join(mixed, "key").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
     rows = rows.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
-    rows = rows.join(classes.select(F.col("doc_id").alias("id"), "n_shingles", "registers"), "id")
-
-    def pairs(held: list[tuple]) -> Iterator[tuple[int, int]]:
-        held.sort(key=lambda r: r[2])
-        ids, comp, block = (np.array([r[c] for r in held]) for c in (2, 3, 4))
-        n = np.array([r[5] for r in held], float)
-        regs = np.frombuffer(b"".join(r[6] for r in held), np.uint16).reshape(-1, BUCKETS)
-        whole = held[0][1][0] == held[0][1][1]
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    rows = rows.join(classes.select(F.col("doc_id").alias("id"), "n_shingles", "registers").hint("merge"), "id").join(texts.hint("merge"), "id")
+
+    def links(key: int, whole: bool, held: list[tuple]) -> Iterator[tuple[int, int]]:
+        block, ids, comp = (np.array([r[c] for r in held]) for c in range(3))
+        n = np.array([r[3] for r in held], float)
+        regs = np.frombuffer(b"".join(r[4] for r in held), np.uint16).reshape(-1, BUCKETS)
+        keys = bands(regs, config.rows)
+        sets: list[np.ndarray] = []
         for p in range(len(held) - 1):
             at = np.flatnonzero((comp[p + 1 :] != comp[p]) & (whole | (block[p + 1 :] != block[p]))) + p + 1
             at = at[np.minimum(n[at], n[p]) >= t * np.maximum(n[at], n[p]) - 1e-9]
             if len(at):
                 at = at[estimate(regs[at], regs[p], n[at], n[p]) >= least_estimate(n[at], n[p], t)]
-                yield from ((int(ids[p]), int(ids[q])) for q in at)
+            if len(at):
+                at = at[keys[p][(keys[at] == keys[p]).argmax(1)] == key]
+            if len(at):
+                sets = sets or list(shingle_sets(pa.array([r[5] for r in held], pa.string()), config.shingle))
+                for q in at.tolist():
+                    both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                    if 100 * both >= config.percent * (len(sets[p]) + len(sets[q]) - both):
+                        yield int(ids[p]), int(ids[q])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        at, held = None, []
 
         def flushed() -> pa.RecordBatch:
-            got = list(pairs(held)) if held else []
-            return pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], pa.int64()) for c in (0, 1)], ["a", "b"])
+            got = list(links(at[0], at[1] == at[2], held)) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], pa.int64()) for c in (0, 1)], ["u", "v"])
 
         for x in batches:
-            for key, i, j, *rest in zip(*(x.column(c).to_pylist() for c in range(8)), strict=True):
-                if held and held[0][:2] != (key, (i, j)):
+            for key, i, j, *rest in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                if at != (key, i, j):
                     yield flushed()
-                    held = []
-                block, id_, component, n, r = rest
-                held.append((key, (i, j), id_, component, block, n, r))
+                    at, held = (key, i, j), []
+                held.append(tuple(rest))
         yield flushed()
 
-    dealt = rows.select("key", "i", "j", "block", "id", "component", "n_shingles", "registers").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(scan, "a bigint, b bigint").distinct()
+    dealt = rows.select("key", "i", "j", "block", "id", "component", "n_shingles", "registers", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    return dealt.mapInArrow(scan, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, config: NearDedupConfig = NearDedupConfig(), folder: str | None = None) -> DataFrame:
@@ -222,8 +236,8 @@ def near_duplicates(docs: DataFrame, config: NearDedupConfig = NearDedupConfig()
     all_ = stored(sketches(docs, config), f"{folder}/sketches")
     usable = all_.where("doc_id is not null and n_shingles > 0")
     class_of = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("class")), f"{folder}/digests")
-    member_of = stored(usable.select("doc_id", "digest").join(class_of, "digest").select("doc_id", "class").distinct(), f"{folder}/members")
-    named = usable.join(class_of.select(F.col("digest").alias("_d"), F.col("class").alias("_c")), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("_c")))
+    member_of = stored(usable.select("doc_id", "digest").join(class_of.hint("merge"), "digest").select("doc_id", "class").distinct(), f"{folder}/members")
+    named = usable.join(class_of.select(F.col("digest").alias("_d"), F.col("class").alias("_c")).hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("_c")))
     # A set of fewer members has no other set as near as the threshold.
     fewest = config.percent / (100 - config.percent) if config.percent < 100 else float("inf")
     classes = stored(named.where(F.col("n_shingles") >= F.lit(fewest - 1e-9)).dropDuplicates(["doc_id", "digest"]).select("doc_id", "n_shingles", "registers"), f"{folder}/classes")
@@ -235,21 +249,20 @@ def near_duplicates(docs: DataFrame, config: NearDedupConfig = NearDedupConfig()
 
     banded = classes.select(F.col("doc_id").alias("id"), F.explode(keys("registers")).alias("key"))
     hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = stored(banded.join(hubs, "key"), f"{folder}/buckets")
+    shared = stored(banded.join(hubs.hint("merge"), "key"), f"{folder}/buckets")
     first = stored(_estimated(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), classes, config), f"{folder}/pairs-1")
     links = stored(_confirmed(first, docs, config), f"{folder}/links-1")
     copies = member_of.where("doc_id <> class").select(F.col("doc_id").alias("u"), F.col("class").alias("v"))
     labels = components(links, f"{folder}/components-1")
-    across = stored(_across(shared, labels, classes, config), f"{folder}/pairs-2")
-    more = stored(_confirmed(across.join(first, ["a", "b"], "left_anti"), docs, config), f"{folder}/links-2")
+    more = stored(_across(shared, labels, classes, docs, config), f"{folder}/links-2")
     labels = stored(components(links.union(more), f"{folder}/components-2"), f"{folder}/labels")
     multiple = member_of.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")  # one id with different texts
     if not multiple.isEmpty():
         labels = components(links.union(more).union(copies).union(member_of.select(F.col("doc_id").alias("u"), F.col("class").alias("v"))), f"{folder}/components-3")
         placed = labels.select(F.col("node").alias("_n"), "component")
     else:
-        placed = member_of.join(labels, member_of["class"] == labels["node"], "left").select(F.col("doc_id").alias("_n"), F.coalesce("component", "class").alias("component"))
-    out = all_.select("doc_id", "n_shingles").join(placed, F.col("doc_id") == F.col("_n"), "left")
+        placed = member_of.join(labels.hint("merge"), member_of["class"] == labels["node"], "left").select(F.col("doc_id").alias("_n"), F.coalesce("component", "class").alias("component"))
+    out = all_.select("doc_id", "n_shingles").join(placed.hint("merge"), F.col("doc_id") == F.col("_n"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
