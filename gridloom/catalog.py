@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.plans import imagery, learning, logs, spatial, stats, survey
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _plans in (survey, spatial, stats, imagery, learning, logs):
+    QUERIES |= _plans.query.queries
+    ORACLE_SQL |= _plans.query.sql
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minimum slice: cluster means, locations, grid join, coverage, threshold."""
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Households to cluster means, locations, buffers, a grid's coverage and its labels above the threshold."""
+    return spatial.flagship(spark, sf_dir)
