@@ -6,7 +6,7 @@ payload is stored for a digest, all payloads of that digest must agree in length
 
 Of records with equal payloads of at least ``least_bytes`` bytes that with the smallest page_id is a response and the others are
 revisits of it; shorter ones are responses all. Everything is DataFrame functions; payloads are shuffled once to the store and once
-back from it, hot digests are counted before the shuffle, and the join back is one that the engine may split.
+back from it, equal ones are combined before the shuffle, and the join back is one that the engine may split.
 
 Defined results: a null html is an empty payload; rows that repeat a page_id and its payload are written each, with the same type;
 records without page_id are written, are never referred to and come back without it; line ends in a url are percent-encoded; other
@@ -28,18 +28,18 @@ def _record_id(page_id: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, folder: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes the tables headers (digest, header) and payloads (digest, payload). pages: page_id, url, html."""
+    """Writes the tables headers (digest, header) and payloads (digest, payload, smallest page_id). pages: page_id, url, html."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("bigint"))
-    known = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(F.xxhash64("payload")).alias("x0"), F.max(F.xxhash64("payload")).alias("x1"))
+    # One payload for each digest, and what shows that all of them agree; combined before the payloads are shuffled.
+    once = rows.groupBy("digest").agg(
+        F.first("payload").alias("payload"), F.min("page_id").alias("first"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(F.xxhash64("payload")).alias("x0"), F.max(F.xxhash64("payload")).alias("x1")
+    )
     agree = (F.col("n0") == F.col("n1")) & (F.col("x0") == F.col("x1"))
-    known = stored(known.select("digest", F.when(agree, F.col("first")).otherwise(F.raise_error(F.lit("different payloads have one digest")).cast("bigint")).alias("first")), f"{folder}/digests")
-    side = known.select(F.col("digest").alias("_d"), "first")
-    keyed = rows.join(side, F.col("digest") == F.col("_d"))
-    holds = F.col("page_id").eqNullSafe(F.col("first"))
-    stored(keyed.where(holds).select("digest", "payload").dropDuplicates(["digest"]), f"{folder}/payloads")
-    records = rows.select("page_id", "url", "digest", "n").join(side, F.col("digest") == F.col("_d"))
+    payload = F.when(agree, F.col("payload")).otherwise(F.raise_error(F.lit("different payloads have one digest")).cast("binary"))
+    store = stored(once.select("digest", payload.alias("payload"), "first"), f"{folder}/payloads")
+    records = rows.select("page_id", "url", "digest", "n").join(store.select(F.col("digest").alias("_d"), "first").hint("merge"), F.col("digest") == F.col("_d"))
     revisit = (F.col("n") >= least_bytes) & F.col("page_id").isNotNull() & F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n").cast("string"), F.lit(END * 2))
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("n"))
@@ -63,8 +63,8 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 100, date: s
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """digest, header, record (the bytes of the whole record) and the full payload of every record."""
     headers = spark.read.schema("digest string, header binary").parquet(f"{folder}/headers")
-    payloads = spark.read.schema("_d string, payload binary").schema("digest string, payload binary").parquet(f"{folder}/payloads")
-    met = headers.join(payloads.select(F.col("digest").alias("_d"), "payload"), F.col("digest") == F.col("_d"), "left")
+    payloads = spark.read.schema("digest string, payload binary").parquet(f"{folder}/payloads")
+    met = headers.join(payloads.select(F.col("digest").alias("_d"), "payload").hint("merge"), F.col("digest") == F.col("_d"), "left")
     revisit = F.decode("header", "UTF-8").contains(f"{END}WARC-Type: revisit{END}")
     body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
     return met.select("digest", "header", F.concat("header", body, F.lit((END * 2).encode())).alias("record"), "payload")
