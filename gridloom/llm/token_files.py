@@ -15,8 +15,10 @@ a null doc_id sorts first; an empty table gives no shard and no row.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,8 +42,37 @@ class TokenFileConfig:
     memo: int = 200_000
 
 
+class _Memo:
+    """A dictionary of bounded size: what wasn't asked for during the last ``most`` new entries is forgotten."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.now, self.before = most, {}, {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """Keys without a value; the others are all in ``now`` afterwards."""
+        out = []
+        for k in keys.difference(self.now):
+            v = self.before.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                self.now[k] = v
+        return out
+
+    def trim(self) -> None:
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+
+
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
-    """Ids of texts as bytes: 16 bits each where the vocabulary allows it, else 32."""
+    """Ids of texts as bytes: 16 bits each where the vocabulary allows it, else 32.
+
+    A word's ids are looked up. A new word is cut into what ends with a letter or digit and the ASCII punctuation behind it, which the vocabularies
+    meant here never join; the parts are looked up too, with A-Z lower-cased if the tokenizer does that, and only new parts are encoded.
+    """
 
     def __init__(self, config: TokenFileConfig) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,23 +81,83 @@ class Encoder:
         self.config = config
         self.tokenizer = Tokenizer.from_file(config.tokenizer)
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), config.end_id + 1) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([config.end_id], self.dtype).tobytes()
-        self.memo: dict[bytes, bytes] = {}
+        self.words, self.parts = _Memo(config.memo), _Memo(config.memo)
+        self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbZ") == "abz"
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = None
+        if suffix:
+            self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
 
-    def __call__(self, text: str) -> bytes:
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of words or parts. Those of letters alone are encoded as one text, as each ends with the only id that closes a word in it."""
+        plain = [i for i, p in enumerate(parts) if p.isalpha()] if self.closes is not None else []
+        out: list[bytes] = [b""] * len(parts)
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, self.dtype)
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) == len(some):
+                raw, size, begin = ids.tobytes(), self.dtype.itemsize, 0
+                for i, end in zip(some, ends, strict=True):
+                    out[i] = raw[begin * size : end * size]
+                    begin = end
+        rest = [i for i, x in enumerate(out) if not x]
+        for i, x in zip(rest, self._encode([parts[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+    def _cut(self, word: bytes) -> tuple[bytes, bytes]:
+        if word[-1:].isalnum() and b"<|" not in word:
+            return word.lower() if self.lower else word, b""
+        core = word.rstrip(_TAIL)
+        tail = word[len(core) :]
+        if tail and (not core or b"'" in word or b"<|" in word or not (core[-1:].isalnum() or core.decode()[-1].isalnum())):
+            core, tail = word, b""
+        return core.lower() if self.lower and b"<|" not in core else core, tail
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         if self.config.whole_texts:
-            return self._encode([text])[0] + self.end
-        words = text.encode().split()
-        if new := list(set(words).difference(self.memo)):
-            if len(self.memo) > self.config.memo:
-                self.memo.clear()
-                new = list(set(words))
-            self.memo.update(zip(new, self._encode([w.decode() for w in new]), strict=True))
-        memo = self.memo
-        return b"".join([memo[w] for w in words]) + self.end
+            return [x + self.end for x in self._encode(texts)]
+        rows = [t.encode().split() for t in texts]
+        get = self.words.now.get
+        found = [list(map(get, row)) for row in rows]
+        gaps = [i for i, got in enumerate(found) if None in got]
+        if gaps:
+            asked = {w for i in gaps for w, v in zip(rows[i], found[i], strict=True) if v is None}
+            self._learn(self.words.missing(asked))
+            memo = self.words.now
+            for i in gaps:
+                found[i] = [memo[w] if v is None else v for w, v in zip(rows[i], found[i], strict=True)]
+        self.words.trim()
+        self.parts.trim()
+        return [b"".join(got) + self.end for got in found]
+
+    def _learn(self, words: list[bytes]) -> None:
+        cuts = [self._cut(w) for w in words]
+        parts = {p for c in cuts for p in c}
+        parts.discard(b"")
+        if fresh := self.parts.missing(parts):
+            self.parts.now.update(zip(fresh, self._encode_parts([p.decode() for p in fresh]), strict=True))
+        known = self.parts.now
+        self.words.now.update((w, known[a] + known[b] if b else known[a]) for w, (a, b) in zip(words, cuts, strict=True))
+
+
+_ENCODERS: dict[TokenFileConfig, Encoder] = {}
+
+
+def encoder(config: TokenFileConfig) -> Encoder:
+    """One encoder for each worker process, so that tasks that follow one another share what it has looked up."""
+    if config not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[config] = Encoder(config)
+    return _ENCODERS[config]
 
 
 class ShardWriter:
@@ -154,15 +245,19 @@ def write_shards(docs: DataFrame, folder: str, config: TokenFileConfig) -> list[
         task = TaskContext.get()
         shard, name = task.partitionId(), f"{path}/ids-{task.partitionId():06d}.arrow"
         encode, writer, sink, n = None, None, None, 0
+        gc.disable()  # words and ids are no cycles, but there are many of them
         for x in batches:
-            for doc, text in zip(x.column(0).to_pylist(), x.column(1), strict=True):
+            for at in range(0, x.num_rows, 128):
+                some = x.slice(at, 128)
                 if writer is None:
-                    encode = Encoder(config)
+                    encode = encoder(config)
                     where.create_dir(path, recursive=True)
                     sink = where.open_output_stream(temporary := f"{path}/.{shard}-{task.taskAttemptId()}")
                     writer = ShardWriter(sink, encode.dtype, config)
-                writer.add(doc, encode(text.as_py() or ""))
-                n += 1
+                for doc, ids in zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                    writer.add(doc, ids)
+                n += some.num_rows
+        gc.enable()
         if writer is not None:
             writer.close()
             sink.close()
