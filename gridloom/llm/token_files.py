@@ -39,7 +39,7 @@ class TokenFileConfig:
     length: int = 1024
     batch: int = 512
     whole_texts: bool = False
-    memo: int = 200_000
+    memo: int = 450_000
 
 
 class _Memo:
@@ -83,7 +83,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), config.end_id + 1) <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([config.end_id], self.dtype).tobytes()
-        self.words, self.parts = _Memo(config.memo), _Memo(config.memo)
+        self.words, self.parts = _Memo(config.memo), _Memo(config.memo // 2)
         self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbZ") == "abz"
 
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -126,18 +126,13 @@ class Encoder:
         if self.config.whole_texts:
             return [x + self.end for x in self._encode(texts)]
         rows = [t.encode().split() for t in texts]
-        get = self.words.now.get
-        found = [list(map(get, row)) for row in rows]
-        gaps = [i for i, got in enumerate(found) if None in got]
-        if gaps:
-            asked = {w for i in gaps for w, v in zip(rows[i], found[i], strict=True) if v is None}
-            self._learn(self.words.missing(asked))
-            memo = self.words.now
-            for i in gaps:
-                found[i] = [memo[w] if v is None else v for w, v in zip(rows[i], found[i], strict=True)]
+        if new := self.words.missing(set().union(*rows)):
+            self._learn(new)
+        get = self.words.now.__getitem__
+        out = [b"".join(map(get, row)) + self.end for row in rows]
         self.words.trim()
         self.parts.trim()
-        return [b"".join(got) + self.end for got in found]
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
         cuts = [self._cut(w) for w in words]
