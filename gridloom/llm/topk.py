@@ -12,7 +12,8 @@ scores among a fixed number of its own rows as candidates, which are true lower
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without id; a
 shorter vector has zeros in the missing places; rows with the query's own id are not its candidates; a query id that is
-repeated is answered once, by its smallest vector; repeated candidates each count; with fewer than k candidates all are returned.
+repeated is answered once, by its smallest vector; repeated candidates each count; with fewer than k candidates all are returned;
+a score beyond 64 bits is an error, never a wrong number.
 """
 
 from __future__ import annotations
