@@ -73,8 +73,16 @@ def overlap_share(cells: DataFrame, key: list[str], boundary: DataFrame, bin_siz
 
 
 def numbered(cells: DataFrame, name: str = "cell_id", order: tuple[str, ...] = ("i", "j"), by: tuple[str, ...] = ()) -> DataFrame:
-    """Cells numbered from 0 without gaps, columns first. ``by`` numbers each country's grid by itself, in parallel."""
-    return cells.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("bigint"))
+    """Cells numbered from 0 without gaps, columns first; with ``by`` each country's grid by itself.
+
+    Columns are numbered in parallel: a cell's number is how many cells the columns before have, plus its place in its own.
+    """
+    first, rest = order[0], order[1:]
+    columns = cells.groupBy(*by, first).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = cells.join(columns.withColumn("_before", before).drop("_n"), [*by, first])
+    own = F.row_number().over(Window.partitionBy(*by, first).orderBy(*rest)) - 1
+    return placed.withColumn(name, (F.col("_before") + own).cast("bigint")).select(*cells.columns, name)
 
 
 def self_overlaps(cells: DataFrame, key: str, bin_size: float) -> DataFrame:

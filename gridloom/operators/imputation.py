@@ -27,8 +27,13 @@ def hidden_rows(df: DataFrame, column: str, row_id: str = "row_id", share: float
     The share is cut by a threshold on a hash when no order is given, so nothing is sorted as a whole; with an order it is exact.
     """
     known = df.where(F.col(column).isNotNull())
+    if order is None:
+        h = F.xxhash64(row_id, F.lit(column), F.lit(42))
+        marked = known.withColumn("_h", h)
+        least = F.broadcast(marked.groupBy(*by).agg(F.min("_h").alias("_least")))
+        joined = marked.join(least, list(by)) if by else marked.crossJoin(least)
+        return joined.where((F.pmod("_h", F.lit(1 << 40)) < int(share * (1 << 40))) | (F.col("_h") == F.col("_least"))).select(*by, row_id, F.col(column).alias("actual"))
     n = known.groupBy(*by).agg(F.greatest(F.floor(F.count("*") * share), F.lit(1)).alias("_k"))
-    order = order if order is not None else F.xxhash64(row_id, F.lit(column), F.lit(42))
     ranked = known.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order, row_id)))
     joined = ranked.join(F.broadcast(n), list(by)) if by else ranked.crossJoin(F.broadcast(n))
     return joined.where("_r <= _k").select(*by, row_id, F.col(column).alias("actual"))

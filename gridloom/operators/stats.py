@@ -174,10 +174,37 @@ def weighted_score(df: DataFrame, score: str, missing: str, by: tuple[str, ...]
     return df.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum(F.col(score) * F.col(missing)), F.sum(missing)), F.lit(0.0)).alias("score"), F.sum(missing).alias("missing"))
 
 
+def exact_quantiles(df: DataFrame, value: str, quantiles: list[float], margin: float = 0.002) -> list[float | None]:
+    """Exact quantiles with linear interpolation over all rows, without one task that holds all values.
+
+    Approximate quantiles give a narrow band around each; the values below it are counted, and the exact aggregate sees the band only.
+    """
+    v = F.col(value).cast("double")
+    known = df.select(v.alias("_v")).where("_v is not null")
+    ends = [x for q in quantiles for x in (max(0.0, q - margin), min(1.0, q + margin))]
+    n, cuts = known.agg(F.count("*"), F.percentile_approx("_v", ends, 20_000)).first()
+    if not n:
+        return [None] * len(quantiles)
+    bands = [(cuts[2 * k] if q > margin else -math.inf, cuts[2 * k + 1] if q < 1 - margin else math.inf) for k, q in enumerate(quantiles)]
+    inside = lambda lo, hi: (F.col("_v") >= lo) & (F.col("_v") <= hi)
+    counts = known.agg(*[x for lo, hi in bands for x in (F.count_if(F.col("_v") < lo), F.count_if(inside(lo, hi)))]).first()
+    wanted = []
+    for k, (q, (lo, hi)) in enumerate(zip(quantiles, bands, strict=True)):
+        below, m = counts[2 * k], counts[2 * k + 1]
+        place = q * (n - 1) - below
+        if 0 <= place <= m - 1:
+            wanted.append(F.percentile(F.when(inside(lo, hi), F.col("_v")), F.lit(place / (m - 1) if m > 1 else 0.0)))
+        else:
+            wanted.append(F.percentile("_v", F.lit(q)))
+    return list(known.agg(*wanted).first())
+
+
 def quartile_fence(df: DataFrame, value: str, k: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Quartiles and the bounds k quartile distances beyond them."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    got = df.groupBy(*by).agg(q.alias("_q"))
+    if by:
+        got = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    else:
+        got = df.sparkSession.createDataFrame([(exact_quantiles(df, value, [0.25, 0.75]),)], "_q array<double>")
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     return got.select(*by, q1.alias("q1"), q3.alias("q3"), (q1 - k * (q3 - q1)).alias("low"), (q3 + k * (q3 - q1)).alias("high"))
 

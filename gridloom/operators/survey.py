@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.functions.numbers import finite, safe_number
 from gridloom.functions.text import null_texts
@@ -76,7 +75,8 @@ def without_sparse_columns(df: DataFrame, columns: list[str], threshold: float =
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     """Share of each value among those that aren't null."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return counts.select(column, "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+    total = counts.agg(F.sum("n").alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).select(column, "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def smallest_mode(df: DataFrame, columns: list[str]) -> DataFrame:

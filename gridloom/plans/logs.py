@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,17 +11,13 @@ from gridloom.operators import integrity
 from gridloom.plans import proxies as P
 from gridloom.plans._registry import Registry
 from gridloom.sources import formats, tables
+from gridloom.sources.shared import shared_path
 from gridloom.sources.tables import table
 from gridloom.streaming import monitor
 
 query = Registry()
 
 
-def _folder(spark, name: str) -> str:
-    """A folder that driver and executors share: in the cluster's own one, or a temporary one where none is set."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
-
-
 _CELL = "case event_id % 11 when 0 then 'global' when 1 then 'batch_0_500' when 2 then null else cast(user_id as varchar) end"
 
 
@@ -100,7 +95,7 @@ def p18(spark, d):
 
 @query("s10_s21_json_lines", f"select cell_id, count(*) as n from ({_LOG}) where cell_id is not null or error_type is not null group by 1")
 def s10(spark, d):
-    path = _folder(spark, "failures")
+    path = shared_path(spark, "failures")
     rows = _log(spark, d).select("cell_id", "error_type")
     integrity_rows = rows.where("cell_id is not null or error_type is not null")
     tables.append_failures(integrity_rows, path)
@@ -110,14 +105,14 @@ def s10(spark, d):
 
 @query("s15_s16_panel_sink", f"select year, count(*) as n from ({P.PANEL}) group by 1")
 def s16(spark, d):
-    path = _folder(spark, "panel")
+    path = shared_path(spark, "panel")
     tables.write_panel(P.panel(spark, d).withColumn("country", F.lit("SN")), path)
     return tables.surveys(spark, path).groupBy("year").agg(F.count("*").alias("n"))
 
 
 @query("s8_s17_csv_round_trip", "select s_suppkey as k, s_acctbal as v_a, s_nationkey as v_b from supplier")
 def s17(spark, d):
-    path = _folder(spark, "csv")
+    path = shared_path(spark, "csv")
     tables.write_flat_csv(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.struct(F.col("s_acctbal").alias("a"), F.col("s_nationkey").alias("b")).alias("v")), path)
     return tables.read_csv(spark, path, "k bigint, v_a double, v_b int")
 
@@ -131,7 +126,7 @@ def s19(spark, d):
 
 @query("s20_run_log_append", "select user_id, count(*) * 2 as n from events where event_type = 'purchase' group by 1")
 def s20(spark, d):
-    path = _folder(spark, "runs")
+    path = shared_path(spark, "runs")
     rows = table(spark, d, "events").where("event_type = 'purchase'").select("user_id", "value")
     for _ in range(2):
         tables.append_runs(rows, path)
@@ -146,7 +141,7 @@ def s26(spark, d):
 
 @query("s7_s25_geojson_round_trip", "select s_suppkey as id from supplier")
 def s7(spark, d):
-    path = _folder(spark, "geojson")
+    path = shared_path(spark, "geojson")
     ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (1, 0), (1, 1))])
     f = table(spark, d, "supplier").select(tables.geojson_text(ring, F.col("s_suppkey").alias("id")).alias("f"))
     f.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list("f")), F.lit("]}")).alias("value")).write.text(path)
@@ -200,7 +195,7 @@ def t7(spark, d):
 
 @query("t5_flushed_progress", "select count(*) as n from events")
 def t5(spark, d):
-    out, checkpoint = _folder(spark, "progress"), _folder(spark, "progress-state")
+    out, checkpoint = shared_path(spark, "progress"), shared_path(spark, "progress-state")
     stream = _stream(spark, d).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     for _ in range(2):  # a restart finds nothing new and writes nothing twice
         stream.start().awaitTermination()
@@ -210,6 +205,6 @@ def t5(spark, d):
 @query("s11_s18_npz", "select 0::bigint as n")
 def s11(spark, d):
     """An empty folder of arrays gives no bands; files are covered by tests."""
-    path = _folder(spark, "arrays")
+    path = shared_path(spark, "arrays")
     spark.range(1).write.parquet(path)
     return formats.npz_bands(spark, path).agg(F.count("*").alias("n"))

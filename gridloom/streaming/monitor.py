@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.operators.integrity import failure_summary
+from gridloom.sources.shared import shared_path
 
 
 def log_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json", files_per_batch: int = 1) -> DataFrame:
@@ -79,7 +80,7 @@ def without_repeats(log: DataFrame, key: list[str], ts: str = "ts", late: str =
 
 def to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over what there is and returns the rows it gave."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", shared_path(df.sparkSession, name)).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
 
