@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch, where rows are whole texts: batches are held twice on either side.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SETTING = "spark.checkpoint.dir"
 
 
@@ -20,19 +24,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the jobs run meanwhile."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 #: Spark deletes a job's shuffle files once the job has ended instead of when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Writes a table and reads it again: what follows doesn't depend on the executors that made it."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
-    try:
+    with setting(df.sparkSession, CLEANUP, "true"):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    finally:
-        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

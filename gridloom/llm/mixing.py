@@ -11,7 +11,8 @@
 
 The budget is chosen so that documents of the ``anchor`` domain are met with a rate just above one, and with ``keep_anchor`` steps are
 projected to rates of at least one where that domain is the likeliest (of at least zero elsewhere): what should stay whole stays whole,
-and the other domains are thinned or repeated against it.
+and the other domains are thinned or repeated against it. No rate exceeds ``most_rate``: a domain that is almost absent falls short of its
+target rather than being repeated without end.
 
 What is collected is bounded by parameters: the telling words, the domains' totals. Defined results: null, empty and wordless
 texts have 0 tokens, the posteriors of their shape and a rate like any other; repeated rows get the same rate each; without labelled rows all
@@ -44,6 +45,7 @@ class MixConfig:
     least_g: float = 25.0
     lift: float = 3.0
     keep_anchor: bool = True
+    most_rate: float = 4.0
     steps: int = 40
     step: float = 1.0
     tolerance: float = 1e-4
@@ -153,7 +155,7 @@ def fit_rates(cells: DataFrame, config: MixConfig) -> Column:
     def rate() -> Column:
         steps = F.array(*[F.array(*[F.lit(g) for g in gs]) for gs in gradients])
         dot = lambda g: reduce(lambda a, b: a + b, [F.col("p")[i] * g[i] for i in range(d)])
-        return F.aggregate(steps, F.lit(1.0), lambda w, g: F.greatest(least, w - config.step * dot(g))) if gradients else F.lit(1.0)
+        return F.aggregate(steps, F.lit(1.0), lambda w, g: F.least(F.lit(config.most_rate), F.greatest(least, w - config.step * dot(g)))) if gradients else F.lit(1.0)
 
     for _ in range(config.steps):
         now = [x or 0.0 for x in cells.agg(*held(rate())).first()]
@@ -167,7 +169,7 @@ def fit_rates(cells: DataFrame, config: MixConfig) -> Column:
 def with_rates(docs: DataFrame, labels: DataFrame, config: MixConfig = MixConfig(), folder: str | None = None) -> DataFrame:
     """doc_id, tokens, p (posteriors) and rate of each document."""
     folder = folder or shared_folder(docs.sparkSession, "mixing")
-    model = fit_domains(docs, labels, config)
+    model = fit_domains(docs, labels, config, folder)
     seen = stored(_marks(docs.select("doc_id", "text")).select("doc_id", F.col("_tokens").alias("tokens"), model.posteriors().alias("p")), f"{folder}/posteriors")
     cells = stored(seen.groupBy("p").agg(F.sum("tokens").cast("double").alias("tokens")).coalesce(1), f"{folder}/cells")
     return seen.withColumn("rate", fit_rates(cells, config))
@@ -183,8 +185,10 @@ def mixed(docs: DataFrame, labels: DataFrame, config: MixConfig = MixConfig(), f
     """The documents, each as often as its rate says, with the columns they came with."""
     names = docs.columns
     folder = folder or shared_folder(docs.sparkSession, "mixing")
-    model = fit_domains(docs, labels, config)
+    model = fit_domains(docs, labels, config, folder)
+    # Written once with their posteriors: what refers to them many times below must not compute them anew.
     marked = _marks(docs.select(F.struct(*names).alias("_row"), "doc_id", "text")).select("_row", F.col("doc_id").alias("_id"), F.col("_tokens").alias("tokens"), model.posteriors().alias("p"))
+    marked = stored(marked, f"{folder}/posteriors")
     cells = stored(marked.groupBy("p").agg(F.sum("tokens").cast("double").alias("tokens")).coalesce(1), f"{folder}/cells")
     counted = marked.select("_row", copies(fit_rates(cells, config), F.col("_id")).alias("_n")).where("_n > 0")
     return counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select("_row.*")

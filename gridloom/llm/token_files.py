@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm._shared import BATCH, CLEANUP, setting
+
 _DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("start", "<i8"), ("n", "<i8")])
 
 
@@ -39,7 +41,7 @@ class TokenFileConfig:
     length: int = 1024
     batch: int = 512
     whole_texts: bool = False
-    memo: int = 450_000
+    memo: int = 400_000
 
 
 class _Memo:
@@ -256,11 +258,16 @@ def write_shards(docs: DataFrame, folder: str, config: TokenFileConfig) -> list[
         if writer is not None:
             writer.close()
             sink.close()
-            where.move(temporary, name)
+            try:
+                where.move(temporary, name)
+            except OSError:  # a store that doesn't replace: what is there is the same shard by an earlier attempt
+                where.delete_file(name)
+                where.move(temporary, name)
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([n]), pa.array([writer.count])], ["shard", "documents", "ids"])
 
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
-    return sorted(tuple(r) for r in dealt.mapInArrow(write, "shard bigint, documents bigint, ids bigint").collect())
+    with setting(docs.sparkSession, BATCH, "500"), setting(docs.sparkSession, CLEANUP, "true"):
+        return sorted(tuple(r) for r in dealt.mapInArrow(write, "shard bigint, documents bigint, ids bigint").collect())
 
 
 def read_shards(spark: SparkSession, folder: str, shards: list[tuple[int, int, int]]) -> DataFrame:
