@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Domains of what the quality stage keeps, and the parts of all tokens that they should have.
+MIX = mixing.MixConfig(domains={d: mixing.DOMAINS[d] for d in ("clean", "toxic")}, targets={"clean": 0.98, "toxic": 0.02}, margin=1.0)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good; it learns from the labelled rows among them."""
     return quality.accepted(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -31,8 +35,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say: clean ones whole, the others thinned to their targets."""
-    return mixing.mixed(docs, _table(spark, sf_dir, "labels"))
+    """Documents as often as their rates say: clean ones whole, toxic ones thinned to their target. Junk has gone before."""
+    return mixing.mixed(docs, _table(spark, sf_dir, "labels"), MIX)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
