@@ -16,11 +16,13 @@ a null doc_id sorts first; an empty table gives no shard and no row.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ class TokenFileConfig:
     length: int = 1024
     batch: int = 512
     whole_texts: bool = False
-    memo: int = 400_000
+    memo: int = 300_000
 
 
 class _Memo:
@@ -85,25 +87,29 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), config.end_id + 1) <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([config.end_id], self.dtype).tobytes()
-        self.words, self.parts = _Memo(config.memo), _Memo(config.memo // 2)
+        self.memo = _Memo(config.memo)
         self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbZ") == "abz"
 
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.closes = None
-        if suffix:
+        self.closes = self.bare = None
+        described = json.loads(self.tokenizer.to_str())
+        suffix = described["model"].get("end_of_word_suffix")
+        if suffix and self.lower and "[\\\\p{L}]+" in json.dumps(described["pre_tokenizer"]):
             self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+            described |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}}
+            self.bare = Tokenizer.from_str(json.dumps(described))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of words or parts. Those of letters alone are encoded as one text, as each ends with the only id that closes a word in it."""
-        plain = [i for i, p in enumerate(parts) if p.isalpha()] if self.closes is not None else []
+        """Ids of words or parts. Those of letters alone, which neither normalizing nor splitting changes, are encoded as one text by the model itself; each
+        ends with the only id that closes a word in it."""
+        plain = [i for i, p in enumerate(parts) if p.isalpha() and p == p.lower() and is_normalized("NFC", p)] if self.bare is not None else []
         out: list[bytes] = [b""] * len(parts)
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.array(self.bare.encode_batch_fast([" ".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, self.dtype)
             ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
             if len(ends) == len(some):
                 raw, size, begin = ids.tobytes(), self.dtype.itemsize, 0
@@ -116,8 +122,6 @@ class Encoder:
         return out
 
     def _cut(self, word: bytes) -> tuple[bytes, bytes]:
-        if word[-1:].isalnum() and b"<|" not in word:
-            return word.lower() if self.lower else word, b""
         core = word.rstrip(_TAIL)
         tail = word[len(core) :]
         if tail and (not core or b"'" in word or b"<|" in word or not (core[-1:].isalnum() or core.decode()[-1].isalnum())):
@@ -128,22 +132,22 @@ class Encoder:
         if self.config.whole_texts:
             return [x + self.end for x in self._encode(texts)]
         rows = [t.encode().split() for t in texts]
-        if new := self.words.missing(set().union(*rows)):
+        if new := self.memo.missing(set().union(*rows)):
             self._learn(new)
-        get = self.words.now.__getitem__
+        get = self.memo.now.__getitem__
         out = [b"".join(map(get, row)) + self.end for row in rows]
-        self.words.trim()
-        self.parts.trim()
+        self.memo.trim()
         return out
 
     def _learn(self, words: list[bytes]) -> None:
-        cuts = [self._cut(w) for w in words]
-        parts = {p for c in cuts for p in c}
-        parts.discard(b"")
-        if fresh := self.parts.missing(parts):
-            self.parts.now.update(zip(fresh, self._encode_parts([p.decode() for p in fresh]), strict=True))
-        known = self.parts.now
-        self.words.now.update((w, known[a] + known[b] if b else known[a]) for w, (a, b) in zip(words, cuts, strict=True))
+        """Words and their parts are kept in one dictionary, as most parts are words too."""
+        cut = {w: self._cut(w) for w in words if not (w.isalpha() and w.islower())}
+        parts = {p for c in cut.values() for p in c if p}
+        parts.update(w for w in words if w not in cut)
+        fresh = self.memo.missing(parts)
+        known = self.memo.now
+        known.update(zip(fresh, self._encode_parts([p.decode() for p in fresh]), strict=True))
+        known.update([(w, known[a] + known[b] if b else known[a]) for w, (a, b) in cut.items()])
 
 
 _ENCODERS: dict[TokenFileConfig, Encoder] = {}
@@ -244,8 +248,8 @@ def write_shards(docs: DataFrame, folder: str, config: TokenFileConfig) -> list[
         encode, writer, sink, n = None, None, None, 0
         gc.disable()  # words and ids are no cycles, but there are many of them
         for x in batches:
-            for at in range(0, x.num_rows, 128):
-                some = x.slice(at, 128)
+            for at in range(0, x.num_rows, 256):
+                some = x.slice(at, 256)
                 if writer is None:
                     encode = encoder(config)
                     where.create_dir(path, recursive=True)
