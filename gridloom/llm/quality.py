@@ -33,6 +33,7 @@ class QualityConfig:
     char_grams: tuple[int, ...] = (2, 3, 4)
     per_class: int = 2500
     epochs: int = 6
+    least_steps: int = 4000
     rate: float = 8.0
     seed: int = 7
 
@@ -81,9 +82,10 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, con
     rng = np.random.default_rng(config.seed)
     table = rng.uniform(-1, 1, (1 << config.buckets_log2, config.dims)).astype(np.float32) / config.dims
     out, bias = np.zeros((config.dims, 2), np.float32), np.zeros(2, np.float32)
-    total = max(1, config.epochs * len(examples))
+    epochs = max(config.epochs, -(-config.least_steps // max(1, len(examples))))  # few rows are seen more often
+    total = max(1, epochs * len(examples))
     step = 0
-    for _ in range(config.epochs):
+    for _ in range(epochs):
         for i in rng.permutation(len(examples)):
             rate = np.float32(config.rate * (1 - step / total))
             step += 1
