@@ -72,8 +72,8 @@ def _shape(text: Column, words: Column, distinct: Column) -> Column:
 def _marks(docs: DataFrame) -> DataFrame:
     """Adds _tokens, the number of words, _set, the distinct lower-cased words, and _shape, the shape marks."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    split = docs.withColumn("_w", F.split(F.lower(F.trim(F.translate(text, "\t\n\x0b\f\r", "     "))), " +"))
-    split = split.withColumn("_tokens", F.when(F.col("_w")[0] == "", F.lit(0)).otherwise(F.size("_w")).cast("bigint")).withColumn("_set", F.array_distinct("_w"))
+    split = docs.withColumn("_w", F.array_remove(F.split(F.lower(F.translate(text, "\t\n\x0b\f\r", "     ")), " "), ""))
+    split = split.withColumn("_tokens", F.size("_w").cast("bigint")).withColumn("_set", F.array_distinct("_w"))
     return split.withColumn("_shape", _shape(text, F.col("_w"), F.col("_set"))).drop("_w")
 
 
