@@ -3,16 +3,17 @@
 1. A classifier learned from the labelled table gives every document posteriors over domains: naive Bayes over shape marks (shares of
    symbols and capitals, variety of words, in coarse steps) and over how many telling words of each domain a text has. Telling words are those
    that a bounded labelled sample shows to be several times as frequent in a domain as outside it.
-2. Nonnegative document rates are fitted by projected gradient steps so that the expected tokens of each domain, the sum of
-   rate * tokens * posterior, come to the target shares of a budget: least squares over the domains, each relative to what it has. A rate depends on
-   a document through its posteriors alone, so documents are summed by posteriors in steps of a hundredth, and every step is an aggregation of that table,
-   whose size the number of domains bounds.
+2. Nonnegative document rates are fitted so that the expected tokens of each domain, the sum of rate * tokens * posterior, come to the target
+   shares of a budget: least squares over the domains, each relative to what it has, and of all such rates those nearest to one. They have the form
+   max(floor, 1 + posteriors * multipliers), with a multiplier for each domain, which Newton steps find. Documents are summed by posteriors in steps of a
+   hundredth, and every step is an aggregation of that table, whose size the number of domains bounds.
 3. A rate becomes copies: its whole part, and one more with the probability of the rest, decided by a hash of doc_id.
 
 The budget is chosen so that documents of the ``anchor`` domain are met with a rate just above one, and with ``keep_anchor`` steps are
 projected to rates of at least one where that domain is the likeliest (of at least zero elsewhere): what should stay whole stays whole,
-and the other domains are thinned or repeated against it. No rate exceeds ``most_rate``: a domain that is almost absent falls short of its
-target rather than being repeated without end.
+and the other domains are thinned or repeated against it, as often as their targets ask: rates have no upper bound. Fitting ends when the
+steps have converged and raises an error if they don't; a target that no rates can meet, with the floor or because domains share their documents, is
+reported by a warning with the part that is reached.
 
 What is collected is bounded by parameters: the telling words, the domains' totals. Defined results: null, empty and wordless
 texts have 0 tokens, the posteriors of their shape and a rate like any other; repeated rows get the same rate each; without labelled rows all
@@ -22,9 +23,11 @@ domains are equally likely; a domain without tokens can't be fitted and is left
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +48,9 @@ class MixConfig:
     least_g: float = 25.0
     lift: float = 3.0
     keep_anchor: bool = True
-    most_rate: float = 4.0
-    steps: int = 40
-    step: float = 1.0
-    tolerance: float = 1e-4
+    steps: int = 200
+    tolerance: float = 1e-6
+    slack: float = 1e-6
 
 
 def word_array(text: str = "text") -> Column:
@@ -137,33 +139,65 @@ def fit_domains(docs: DataFrame, labels: DataFrame, config: MixConfig = MixConfi
 
 
 def fit_rates(cells: DataFrame, config: MixConfig) -> Column:
-    """A column that turns posteriors (p) into rates. cells: p and tokens, one row for each value of p."""
+    """A column that turns posteriors (p) into rates. cells: p and tokens, one row for each value of p.
+
+    Minimizes the sum over domains of (tokens - goal)^2 / own, plus ``slack`` times the squared distance of rates from one, for rates of at least their
+    floor. The multipliers m are the minimum of the dual, a convex function with a continuous gradient: Newton steps, halved where it does not fall.
+    """
     names = list(config.domains)
     d = len(names)
-    held = lambda w: [F.sum(w * F.col("tokens") * F.col("p")[i]).alias(f"t{i}") for i in range(d)]
-    own = [x or 0.0 for x in cells.agg(*held(F.lit(1.0))).first()]
+    own = [x or 0.0 for x in cells.agg(*[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(d)]).first()]
     anchor = names.index(config.anchor)
     if not own[anchor] or not config.targets[config.anchor]:
         budget = sum(own)
     else:
         budget = config.margin * own[anchor] / config.targets[config.anchor]
-    goal = [config.targets.get(n, 0.0) * budget for n in names]
-    gradients: list[list[float]] = []
+    at = [i for i in range(d) if own[i] > 0]
+    if not at:
+        return F.lit(1.0)
     kept = F.col("p")[anchor] >= F.array_max("p") if config.keep_anchor else F.lit(False)
     least = F.when(kept, 1.0).otherwise(0.0)
-
-    def rate() -> Column:
-        steps = F.array(*[F.array(*[F.lit(g) for g in gs]) for gs in gradients])
-        dot = lambda g: reduce(lambda a, b: a + b, [F.col("p")[i] * g[i] for i in range(d)])
-        return F.aggregate(steps, F.lit(1.0), lambda w, g: F.least(F.lit(config.most_rate), F.greatest(least, w - config.step * dot(g)))) if gradients else F.lit(1.0)
-
-    for _ in range(config.steps):
-        now = [x or 0.0 for x in cells.agg(*held(rate())).first()]
-        gradient = [(n - g) / o if o > 0 else 0.0 for n, g, o in zip(now, goal, own, strict=True)]
-        if max(map(abs, gradient)) < config.tolerance:
-            break
-        gradients.append(gradient)
-    return rate()
+    goal, has = np.array([config.targets.get(names[i], 0.0) * budget for i in at]), np.array([own[i] for i in at])
+    allowed = config.tolerance * np.where(goal > 0, goal, has)
+
+    def free(m: np.ndarray) -> Column:
+        return reduce(lambda a, b: a + b, [F.col("p")[i] * float(x) for i, x in zip(at, m, strict=True)], F.lit(1.0))
+
+    def measured(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The dual, its gradient, its second derivatives, and the expected tokens."""
+        w, t = F.greatest(least, free(m)), F.col("tokens")
+        # The part of the dual that a document adds: quadratic above its floor, linear below.
+        part = F.when(free(m) > least, w * w / 2).otherwise(least * free(m) - least * least / 2)
+        pairs = [(i, j) for i in at for j in at if i <= j]
+        moving = F.when(free(m) > least, t).otherwise(0.0)
+        got = [float(x or 0.0) for x in cells.agg(F.sum(t * part), *[F.sum(t * w * F.col("p")[i]) for i in at], *[F.sum(moving * F.col("p")[i] * F.col("p")[j]) for i, j in pairs]).first()]
+        now, second = np.array(got[1 : 1 + len(at)]), np.diag(config.slack * has)
+        for (i, j), x in zip(pairs, got[1 + len(at) :], strict=True):
+            second[at.index(i), at.index(j)] += x
+            if i != j:
+                second[at.index(j), at.index(i)] += x
+        return got[0] + config.slack * float(has @ m**2) / 2 - float(goal @ m), now + config.slack * has * m - goal, second, now
+
+    m = np.zeros(len(at))
+    value, gradient, second, now = measured(m)
+    left = config.steps
+    while (np.abs(gradient) > allowed).any():
+        scale = 1 / np.sqrt(has)
+        move = -scale * np.linalg.solve(second * np.outer(scale, scale), scale * gradient)
+        share = 1.0
+        while True:
+            if left == 0:
+                raise RuntimeError(f"rates have not converged in {config.steps} steps; still off their goals by {dict(zip([names[i] for i in at], (gradient / has).tolist(), strict=True))} of what the domains have")
+            left -= 1
+            tried = measured(m + share * move)
+            if tried[0] <= value + 1e-4 * share * float(gradient @ move) or (np.abs(tried[1]) <= allowed).all() or np.abs(scale * tried[1]).max() < 0.5 * np.abs(scale * gradient).max():
+                break
+            share /= 2
+        m, (value, gradient, second, now) = m + share * move, tried
+    missed = {names[i]: f"{n:.0f} of {g:.0f}" for i, n, g, h in zip(at, now, goal, has, strict=True) if abs(n - g) > 1e-3 * (g or h)}
+    if missed:
+        warnings.warn(f"expected tokens of domains that no rates bring to their targets: {missed}", stacklevel=2)
+    return F.greatest(least, free(m))
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, config: MixConfig = MixConfig(), folder: str | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing as M
@@ -72,3 +73,23 @@ def test_awkward_rows(spark):
     assert M.with_rates(docs.limit(0), labels).count() == 0 and M.mixed(docs.limit(0), labels).count() == 0
     flat = M.with_rates(docs, labels.limit(0)).collect()
     assert len(flat) == 7 and len({tuple(r.p) for r in flat}) == 1
+
+
+def test_a_rare_domain_meets_its_target(spark):
+    """A thousandth of the tokens to a fiftieth: twenty times each, and no rate is cut."""
+    rows = [([1.0, 0.0, 0.0], 90_000.0), ([0.9, 0.1, 0.0], 9_000.0), ([0.0, 1.0, 0.0], 900.0), ([0.02, 0.0, 0.98], 100.0)]
+    cells = spark.createDataFrame(rows, "p array<double>, tokens double")
+    config = M.MixConfig()
+    got = cells.withColumn("rate", M.fit_rates(cells, config)).collect()
+    held = sum(r.rate * r.tokens * np.array(r.p) for r in got)
+    budget = config.margin * sum(t * p[0] for p, t in rows) / 0.92
+    assert np.allclose(held, np.array([0.92, 0.04, 0.04]) * budget, rtol=1e-3)
+    assert max(r.rate for r in got) > 40 and all(r.rate >= 1 for r in got if r.p[0] >= 0.9)
+
+
+def test_rates_that_do_not_converge_are_an_error_and_missed_targets_a_warning(spark):
+    cells = spark.createDataFrame([([0.7, 0.2, 0.1], 1000.0), ([0.1, 0.8, 0.1], 10.0), ([0.3, 0.1, 0.6], 5.0)], "p array<double>, tokens double")
+    with pytest.raises(RuntimeError, match="converged"):
+        M.fit_rates(cells, M.MixConfig(steps=0))
+    with pytest.warns(UserWarning, match="junk"):
+        M.fit_rates(cells, M.MixConfig())
