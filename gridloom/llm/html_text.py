@@ -3,11 +3,12 @@
 A tokenizer reads tags, comments, raw-text elements and character references; a tree builder keeps the open elements, closes those whose end
 tags are implied, and ignores end tags that match nothing; a renderer turns the events into lines. Elements that are never shown,
 those with ``hidden``, and those styled ``display:none`` or ``visibility:hidden`` are left out with all they hold, except that a
-``visibility:visible`` inside a merely invisible element shows again.
+``visibility:visible`` inside a merely invisible element shows again. Of inline SVG the text elements and foreign HTML show, of MathML all but
+annotations and phantoms, of a select all its options.
 
 Rules: white space collapses except in ``pre`` and ``textarea``; paragraphs, headings, lists, tables and quotations stand apart by an
 empty line, other blocks by a line end; list items begin with "- " or their number and are indented by two columns a level; the cells
-of a table's column are padded to one width and stand two columns apart, cells of several lines are joined by spaces.
+of a table's column are padded to one width and stand two columns apart, cells of several lines are joined by spaces. Each option and each text element of SVG has a line of its own; parts of fractions and cells of MathML are set apart by a space.
 
 Defined results: null and empty pages give an empty text; text outside of any element counts; elements left open end with the page;
 nesting of any depth is handled without recursion; other columns aren't touched.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -27,9 +28,16 @@ from pyspark.sql import functions as F
 _words = lambda s: frozenset(s.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
 RAW = _words("script style textarea title xmp noembed noframes iframe")
-UNSEEN = _words("script style head title meta link template noembed noframes iframe datalist object video audio canvas svg math base param source track area col colgroup select")
+UNSEEN = _words("script style head title meta link template noembed noframes iframe datalist object video audio canvas base param source track area col colgroup")
+#: Parts of inline SVG and of MathML that aren't drawn.
+UNDRAWN = _words("title desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom")
+#: HTML again inside SVG and MathML.
+INTEGRATION = _words("foreignobject desc title mi mo mn ms mtext annotation-xml")
+#: Tags that end SVG and MathML left open.
+BREAKOUT = _words("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var")
+SPACED = _words("mfrac mtable mtr mlabeledtr")
 APART = _words("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset")
-BLOCK = APART | _words("html body div section article aside main header footer nav address form li dt dd tr td th thead tbody tfoot caption figcaption details summary legend hgroup search center dir menu")
+BLOCK = APART | _words("html body div section article aside main header footer nav address form li dt dd tr td th thead tbody tfoot caption figcaption details summary legend hgroup search center dir menu option optgroup")
 #: An opening tag closes these open elements, as far up as one of the second set.
 IMPLIED = {
     "li": (_words("li"), _words("ul ol menu dir")),
@@ -49,13 +57,17 @@ CLOSES_P = APART | _words("div section article aside main header footer nav addr
 SCOPE = _words("td th table caption button object html body")
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"'][^\s]*\Z")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none")
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, attributes): kinds are text, open, close and raw (the text of a raw-text element)."""
+def tokens(page: str, foreign: Callable[[], str] = lambda: "") -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes): kinds are text, open, close and raw (the text of a raw-text element).
+
+    foreign says whether SVG or MathML is open, where a tag that ends with a slash is an element without content.
+    """
     at, n = 0, len(page)
     while at < n:
         i = page.find("<", at)
@@ -81,6 +93,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if m[1]:
             yield "close", name, ""
             continue
+        if m[3].endswith("/") and name not in VOID and name not in BREAKOUT and foreign() and not _UNQUOTED_END.search(m[3]):
+            yield "open", name, m[3]
+            yield "close", name, ""
+            continue
         yield "open", name, m[3]
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(page, at)
@@ -160,6 +176,7 @@ class Element:
     indent: int
     number: int | None = None
     box: Box | None = None
+    foreign: str = ""  # svg (outside of its texts), text (in one) or math
 
 
 def rendered(page: str) -> str:
@@ -182,12 +199,15 @@ def rendered(page: str) -> str:
             elif e.shown and boxes[-1].rows:
                 boxes[-1].rows[-1].append(" ".join(x.strip() for x in e.box.done() if x.strip()))
             return
-        if e.shown and e.name in BLOCK:
+        if e.shown and (e.name in BLOCK or e.name == "text" and e.foreign):
             boxes[-1].end(1 if e.name in APART else 0)
             if e.name == "li":
                 boxes[-1].prefix = ""
 
     def open_(name: str, attributes: str) -> None:
+        if stack[-1].foreign and name in BREAKOUT:
+            while stack[-1].foreign:
+                close()
         if name in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name in SCOPE:
@@ -211,6 +231,19 @@ def rendered(page: str) -> str:
         seen = _VISIBILITY.search(style) if style else None
         visible = top.visible if seen is None else seen[1] == "visible"
         out = boxes[-1]
+        foreign = name if name in ("svg", "math") else top.foreign
+        if top.foreign:
+            shown = shown and name not in UNDRAWN and given.get("display") != "none"
+            if seen is None and "visibility" in given:
+                visible = given["visibility"] == "visible"
+            if name in INTEGRATION:
+                foreign = ""
+            elif name == "text" and foreign == "svg":
+                foreign = "text"
+                if shown:
+                    out.end()
+            if top.name in SPACED and shown:
+                out.space = True
         if shown and name == "br":
             if not out.line:
                 out.gap = max(out.gap, 1) if out.lines else 0
@@ -220,7 +253,7 @@ def rendered(page: str) -> str:
             out.end(1 if name in APART and not (name in ("ul", "ol") and any(e.name == "li" for e in stack[1:])) else 0)
         if name in VOID:
             return
-        e = Element(name, shown, visible, top.keep or name in ("pre", "textarea"), top.indent)
+        e = Element(name, shown, visible, top.keep or name in ("pre", "textarea"), top.indent, foreign=foreign)
         if name in ("ul", "ol", "menu", "dir"):
             e.indent += 2
             e.number = (int(given["start"]) if re.fullmatch(r"-?\d{1,9}", given.get("start", "")) else 1) if name == "ol" else None
@@ -240,6 +273,13 @@ def rendered(page: str) -> str:
             e.indent = 0
         elif name == "tr" and boxes[-1].rows is not None and shown:
             boxes[-1].rows.append([])
+        elif name in ("option", "optgroup") and shown and given.get("label"):
+            if visible:
+                out.text(given["label"], e.indent, e.keep)
+            if name == "option":
+                e.shown = False
+            else:
+                out.end()
         elif name in ("td", "th") and boxes[-1].rows is not None:
             if not boxes[-1].rows:
                 boxes[-1].rows.append([])
@@ -248,10 +288,10 @@ def rendered(page: str) -> str:
             e.indent = 0
         stack.append(e)
 
-    for kind, value, extra in tokens(page):
+    for kind, value, extra in tokens(page, lambda: stack[-1].foreign):
         if kind == "text" or kind == "raw":
             top = stack[-1]
-            if top.shown and top.visible:
+            if top.shown and top.visible and top.foreign != "svg":
                 s = value if kind == "raw" and extra != "textarea" else html.unescape(value) if "&" in value else value
                 boxes[-1].text(s.replace("\xa0", " ") if top.keep else s, top.indent, top.keep)
         elif kind == "open":

@@ -38,6 +38,24 @@ def test_no_visible_word_is_lost():
     assert sorted(w for w in got if w.startswith("w")) == sorted(f"w{i}x" for i in range(57)) and "end" in got
 
 
+DRAWN = {
+    "so <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> holds": "so E=mc2 holds",
+    "<math><mfrac><mi>a</mi><mi>b</mi></mfrac><semantics><mi>x</mi><annotation>\\x</annotation></semantics><mphantom>no</mphantom></math>": "a bx",
+    "a<svg><title>no</title><defs><text>no</text></defs><desc/><metadata>no</metadata>no<g><text x=1>one</text><text>t<tspan>wo</tspan></text></g></svg>b": "a\none\ntwo\nb",
+    "<svg><title/><style/><foreignObject><p>in</p></foreignObject><text display='none'>no</text><path d='M0'/></svg>after": "in\n\nafter",
+    "<svg><path d=1><p>open": "open",
+    "<desc>html</desc>": "html",
+    "<form>Size <select><option>S<option selected>M</select> go</form>": "Size\nS\nM\ngo",
+    "<select><optgroup label='A&amp;B'><option label=x>no</option><option>y</optgroup></select>": "A&B\nx\ny",
+    "<select hidden><option>no</select><datalist><option>no</datalist>yes": "yes",
+}
+
+
+@pytest.mark.parametrize("page", list(DRAWN))
+def test_formulas_drawings_and_options_show(page):
+    assert rendered(page).strip("\n") == DRAWN[page]
+
+
 def test_awkward_rows(spark):
     deep = "<div>" * 20_000 + "deep" + "<b>" * 100
     rows = [(1, None), (2, ""), (3, deep), (4, "<"), (5, "</"), (6, "<p"), (7, "x" * 300_000), (7, "x" * 300_000), (None, "<p>a</p>"), (8, "<<>><p/><td>z</td></table></html>after")]
