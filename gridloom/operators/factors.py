@@ -71,11 +71,14 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], most_levels:
     return Factors(numbers, tuple(levels), np.maximum(values[order], 0), axes[:, order])
 
 
-def parallel_analysis(spark: SparkSession, factors: Factors, rows: int, simulations: int = 1000, quantile: float = 95.0, seed: int = 42, partitions: int = 8) -> list[int]:
+def parallel_analysis(spark: SparkSession, factors: Factors, rows: int, simulations: int = 1000, quantile: float = 95.0, seed: int = 42, partitions: int = 64, block: int = 50_000) -> list[int]:
     """Components whose eigenvalue is above that quantile of those of unrelated columns; not forced to be the first ones.
 
-    Every simulation draws normal numbers and categories by their shares, in tasks of their own; eigenvalues are collected, simulations * columns of them.
+    Every simulation draws as many rows of normal numbers and categories by their shares, in tasks of their own; sums are kept block by block of rows.
+    Eigenvalues are collected, simulations * columns of them.
     """
+    if not rows:
+        return []
     groups: dict[str, list[float]] = {}
     for c, _, p in factors.levels:
         groups.setdefault(c, []).append(p)
@@ -86,14 +89,20 @@ def parallel_analysis(spark: SparkSession, factors: Factors, rows: int, simulati
             out = []
             for i in pdf["id"]:
                 rng = np.random.default_rng([seed, int(i)])
-                x = [rng.standard_normal((rows, n_numeric))]
-                for shares in groups.values():
-                    p = np.array([*shares, max(0.0, 1 - sum(shares))])
-                    one = np.eye(len(p))[rng.choice(len(p), rows, p=p / p.sum())][:, : len(shares)]
-                    x.append((one - p[: len(shares)]) / np.sqrt(p[: len(shares)]))
-                z = np.hstack(x)
-                z = (z - z.mean(0)) / np.where(np.arange(size) < n_numeric, np.maximum(z.std(0), 1e-12), 1.0)
-                out.append(np.sort(np.linalg.eigvalsh(z.T @ z / rows))[::-1].tolist())
+                total, gram = np.zeros(size), np.zeros((size, size))
+                for start in range(0, rows, block):
+                    n = min(block, rows - start)
+                    x = [rng.standard_normal((n, n_numeric))]
+                    for shares in groups.values():
+                        p = np.array([*shares, max(0.0, 1 - sum(shares))])
+                        one = np.eye(len(p))[rng.choice(len(p), n, p=p / p.sum())][:, : len(shares)]
+                        x.append((one - p[: len(shares)]) / np.sqrt(p[: len(shares)]))
+                    z = np.hstack(x)
+                    total += z.sum(0)
+                    gram += z.T @ z
+                cov = gram / rows - np.outer(total, total) / rows**2
+                scale = np.where(np.arange(size) < n_numeric, np.sqrt(np.maximum(np.diag(cov), 1e-24)), 1.0)
+                out.append(np.sort(np.linalg.eigvalsh(cov / np.outer(scale, scale)))[::-1].tolist())
             yield pd.DataFrame({"values": out})
 
     drawn = spark.range(0, simulations, 1, partitions).mapInPandas(simulate, "values array<double>")

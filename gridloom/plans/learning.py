@@ -136,8 +136,9 @@ def m17(spark, d):
 
 @query("m11_parallel_analysis")
 def m11(spark, d):
-    f = factors.fit(_mixed(spark, d), ["size", "price"], ["a", "b", "c"])
-    kept = factors.parallel_analysis(spark, f, 500, 200)
+    rows = _mixed(spark, d)
+    f = factors.fit(rows, ["size", "price"], ["a", "b", "c"])
+    kept = factors.parallel_analysis(spark, f, rows.count())
     return spark.createDataFrame([(k,) for k in kept], "component int")
 
 

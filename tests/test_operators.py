@@ -240,3 +240,24 @@ def test_hidden_rows_are_a_tenth_and_one_at_least(spark):
     df = spark.range(2000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("v"))
     n = imputation.hidden_rows(df, "v").count()
     assert 60 < n < 145 and imputation.hidden_rows(df.limit(3), "v").count() >= 1 and imputation.hidden_rows(df.limit(0), "v").count() == 0
+
+
+def test_parallel_analysis_simulates_the_rows_of_the_table(spark, monkeypatch):
+    from gridloom.operators import factors
+    from gridloom.plans import learning
+
+    asked, n = [], 5000
+    monkeypatch.setattr(factors, "parallel_analysis", lambda *a, **k: asked.append((a[2:], k)) or [0])
+    monkeypatch.setattr(learning, "table", lambda spark, d, name: spark.range(n).selectExpr("id as p_partkey", "id % 7 as p_size", "cast(id % 11 as double) as p_retailprice", "concat('b', id % 3) as p_brand"))
+    learning.m11(spark, "")
+    assert asked == [((n,), {})]
+
+
+def test_parallel_analysis_adds_up_blocks_of_rows(spark):
+    from gridloom.operators import factors
+
+    eigen = np.array([1.2, 1.06, 1.0, 0.94])
+    f = factors.Factors(tuple((c, 0.0, 1.0) for c in "abcd"), (), eigen, np.eye(4))
+    # Unrelated columns reach about 1.15 with 500 rows and 1.03 with 20 000.
+    assert factors.parallel_analysis(spark, f, 500, 50) == [0]
+    assert factors.parallel_analysis(spark, f, 20_000, 50, block=3000)[:2] == [0, 1] and factors.parallel_analysis(spark, f, 0) == []
