@@ -123,9 +123,11 @@ def moran_permutation(cells: DataFrame, value: str, by: tuple[str, ...], permuta
             return out.assign(n=len(z), moran_i=np.nan, p_value=np.nan)
         degree = np.bincount(rows, minlength=len(z))
         weight = 1.0 / degree[rows]
-        index = lambda v: len(v) / np.count_nonzero(degree) * np.sum(weight * v[rows] * v[cols]) / (v @ v)
-        rng = np.random.default_rng(seed)
-        seen, drawn = index(z), np.array([index(rng.permutation(z)) for _ in range(permutations)])
+        factor = len(z) / np.count_nonzero(degree) / (z @ z)
+        index = lambda v: factor * (weight * np.take(v, rows, 1) * np.take(v, cols, 1)).sum(1)
+        rng, few = np.random.default_rng(seed), max(1, 1_000_000 // len(rows))
+        seen = index(z[None, :])[0]
+        drawn = np.concatenate([index(np.array([rng.permutation(z) for _ in range(min(few, permutations - k))])) for k in range(0, permutations, few)])
         larger = int((drawn >= seen).sum())
         return out.assign(n=len(z), moran_i=seen, p_value=(min(larger, permutations - larger) + 1) / (permutations + 1))
 

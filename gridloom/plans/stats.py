@@ -73,7 +73,7 @@ def a12(spark, d):
 
 @query("a12_moran_permutation")
 def a12_p(spark, d):
-    return stats.moran_permutation(_pixels(spark, d).where("cell_id < 40"), "value", ("cell_id",), 99)
+    return stats.moran_permutation(_pixels(spark, d), "value", ("cell_id",))
 
 
 _YEARS = f"select cell_id, year, weighted_wealth from ({P.PANEL})"

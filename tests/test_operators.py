@@ -261,3 +261,15 @@ def test_parallel_analysis_adds_up_blocks_of_rows(spark):
     # Unrelated columns reach about 1.15 with 500 rows and 1.03 with 20 000.
     assert factors.parallel_analysis(spark, f, 500, 50) == [0]
     assert factors.parallel_analysis(spark, f, 20_000, 50, block=3000)[:2] == [0, 1] and factors.parallel_analysis(spark, f, 0) == []
+
+
+def test_moran_permutation_query_covers_every_cell(spark, monkeypatch):
+    from gridloom.plans import stats as plans
+
+    pixels = spark.range(60 * 9).selectExpr("id div 9 as cell_id", "id % 9 div 3 as i", "id % 3 as j", "cast(id % 9 as double) as value")
+    monkeypatch.setattr(plans, "_pixels", lambda spark, d: pixels)
+    got = plans.a12_p(spark, "").toPandas()
+    assert sorted(got.cell_id) == list(range(60))
+    # A slope: only one in hundreds of orders is as even, which 99 permutations couldn't tell; p comes in thousandths.
+    p = got.p_value.to_numpy() * 1000
+    assert np.allclose(p, p.round()) and (p < 10).all()
