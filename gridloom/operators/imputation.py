@@ -194,7 +194,6 @@ class Forest:
         return numbers.forest_complexity(F.col("n_estimators"), F.col("n_iterations"), F.col("max_depth"), F.col("max_features"), F.col("min_samples_split"))
 
     def impute(self, known, target, wanted, kind, settings):
-        rng = np.random.default_rng(settings.get("seed", 42))
         if kind == "numeric":
             labels, y = None, target.astype(float)[:, None]
         else:
@@ -202,36 +201,57 @@ class Forest:
             y = np.eye(len(labels))[codes]
         votes = np.zeros((len(wanted), y.shape[1]))
         features = {"sqrt": math.isqrt(max(1, known.shape[1])), "log2": int(math.log2(max(2, known.shape[1])))}.get(settings.get("max_features"), known.shape[1])
-        trees = min(30, settings.get("n_estimators", 30))
-        for _ in range(trees):
+        trees, centre = settings.get("n_estimators", 100), y.mean(0)
+        for t in range(trees):
+            rng = np.random.default_rng([settings.get("seed", 42), t])
             rows = rng.integers(0, len(known), len(known))
-            self._grow(known, y, rows, wanted, np.arange(len(wanted)), votes, rng, max(1, features), settings.get("max_depth") or 16, settings.get("min_samples_split", 2))
-        return votes[:, 0] / trees if labels is None else labels[votes.argmax(1)].astype(object)
-
-    def _grow(self, x, y, rows, wanted, asked, votes, rng, features, depth, least) -> None:
-        work = [(rows, asked, depth)]
-        while work:
-            rows, asked, depth = work.pop()
-            if not len(asked):
-                continue
-            best = None
-            if depth and len(rows) >= max(2, least) and not (y[rows] == y[rows[0]]).all() and x.shape[1]:
-                for f in rng.choice(x.shape[1], min(features, x.shape[1]), replace=False):
-                    values = np.unique(x[rows, f])
-                    if len(values) < 2:
-                        continue
-                    cut = rng.choice((values[1:] + values[:-1]) / 2, min(8, len(values) - 1), replace=False)
-                    for c in cut:
-                        left = x[rows, f] <= c
-                        gain = sum(m.sum() * (y[rows[m]].mean(0) ** 2).sum() for m in (left, ~left))
-                        if best is None or gain > best[0]:
-                            best = gain, f, c, left
-            if best is None:
-                votes[asked] += y[rows].mean(0)
-                continue
-            _, f, c, left = best
-            goes = wanted[asked, f] <= c
-            work += [(rows[left], asked[goes], depth - 1), (rows[~left], asked[~goes], depth - 1)]
+            self._grow(known[rows], y[rows] - centre, wanted, votes, rng, max(1, features), settings.get("max_depth"), settings.get("min_samples_split", 2))
+        votes = votes / trees + centre
+        return votes[:, 0] if labels is None else labels[votes.argmax(1)].astype(object)
+
+    def _grow(self, x, y, wanted, votes, rng, features, depth, least) -> None:
+        """Grows a tree level by level, all nodes of a level at once, over every cut point, and adds the means of their leaves to the votes of wanted rows.
+
+        Of each node the best cut of ``features`` random columns is taken; if these are constant in it, the next column that is not.
+        """
+        node, place, asked = np.zeros(len(x), int), np.zeros(len(wanted), int), np.arange(len(wanted))
+        order, level = np.argsort(x, axis=0, kind="stable").T, 0
+        while len(asked):
+            by = np.argsort(node, kind="stable")
+            size = np.bincount(node)
+            starts, nodes = np.cumsum(size) - size, len(size)
+            total = np.add.reduceat(y[by], starts)
+            mixed = (np.maximum.reduceat(y[by], starts) > np.minimum.reduceat(y[by], starts)).any(1)
+            grows = mixed & (size >= max(2, least)) & (np.bincount(place, minlength=nodes) > 0) & (depth is None or level < depth)
+            gains, cuts = np.full((nodes, x.shape[1] + 1), -np.inf), np.zeros((nodes, x.shape[1] + 1))
+            for f, o in enumerate(order if grows.any() else ()):
+                o = o[np.argsort(node[o], kind="stable")]
+                v, at = x[o, f], node[o]
+                i = np.flatnonzero((at[1:] == at[:-1]) & (v[1:] > v[:-1]) & grows[at[:-1]])
+                if not len(i):
+                    continue
+                sums, at = np.vstack([np.zeros(y.shape[1]), np.cumsum(y[o], 0)]), at[i]
+                left, n = sums[i + 1] - sums[starts[at]], i + 1 - starts[at]
+                gain = (left**2).sum(1) / n + ((total[at] - left) ** 2).sum(1) / (size[at] - n)
+                which, first, back = np.unique(at, return_index=True, return_inverse=True)
+                most = np.maximum.reduceat(gain, first)
+                best = np.flatnonzero(gain == most[back])
+                best = i[best[np.unique(at[best], return_index=True)[1]]]
+                middle = (v[best] + v[best + 1]) / 2
+                gains[which, f], cuts[which, f] = most, np.where(middle < v[best + 1], middle, v[best])
+            rank = np.column_stack([rng.random((nodes, x.shape[1])).argsort(1).argsort(1), np.full(nodes, x.shape[1])])
+            least_rank = np.where(gains > -np.inf, rank, x.shape[1]).min(1, keepdims=True)
+            chosen = np.where(rank < np.maximum(features, least_rank + 1), gains, -np.inf).argmax(1)
+            splits = gains.max(1) > -np.inf
+            ends = ~splits[place]
+            votes[asked[ends]] += (total / size[:, None])[place[ends]]
+            asked, place, keep = asked[~ends], place[~ends], splits[node]
+            order = (np.cumsum(keep) - 1)[order[keep[order]]].reshape(x.shape[1], int(keep.sum()))
+            x, y, node = x[keep], y[keep], node[keep]
+            number, cut = np.cumsum(splits) - 1, cuts[np.arange(nodes), chosen]
+            node = 2 * number[node] + (x[np.arange(len(x)), chosen[node]] > cut[node])
+            place = 2 * number[place] + (wanted[asked, chosen[place]] > cut[place])
+            level += 1
 
 
 METHODS: dict[str, Callable[[], Imputer]] = {"knn": NearestNeighbours, "mice": ChainedEquations, "missforest": Forest}

@@ -51,7 +51,7 @@ def m5_logistic(spark, d):
 
 @query("m6_forest")
 def m6(spark, d):
-    return imputation.imputed(_holes(spark, d), "size", ["price"], ["p_brand"], "survey", "missforest", {"n_estimators": 10, "max_features": "sqrt"})
+    return imputation.imputed(_holes(spark, d), "size", ["price"], ["p_brand"], "survey", "missforest", {"n_estimators": 100, "max_features": "sqrt"})
 
 
 @query("m7_convergence", "select round(avg(abs(0.5 / greatest(abs(p_size), 1e-10))), 6) as change from part")
@@ -67,7 +67,7 @@ def m8(spark, d):
 
 @query("m9_best_method")
 def m9(spark, d):
-    scores = {name: imputation.holdout_error(_holes(spark, d), "size", ["price"], [], "survey", name, {"n_estimators": 5} if name == "missforest" else {}).first()[0] for name in imputation.METHODS}
+    scores = {name: imputation.holdout_error(_holes(spark, d), "size", ["price"], [], "survey", name, {"n_estimators": 100} if name == "missforest" else {}).first()[0] for name in imputation.METHODS}
     return spark.createDataFrame([(k, float(v), k == imputation.best_method(scores)) for k, v in scores.items()], "method string, error double, chosen boolean")
 
 

@@ -273,3 +273,27 @@ def test_moran_permutation_query_covers_every_cell(spark, monkeypatch):
     # A slope: only one in hundreds of orders is as even, which 99 permutations couldn't tell; p comes in thousandths.
     p = got.p_value.to_numpy() * 1000
     assert np.allclose(p, p.round()) and (p < 10).all()
+
+
+def test_forest_grows_as_many_and_as_deep_trees_as_it_is_told(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 3))
+    y = np.floor(x[:, 0] * 64) + x[:, 1]
+    forest, grown, grow = imputation.Forest(), [], imputation.Forest._grow
+    monkeypatch.setattr(imputation.Forest, "_grow", lambda self, *a: grown.append(a[6]) or grow(self, *a))
+    for n, depth in ((50, None), (100, 20), (200, None)):
+        grown.clear()
+        forest.impute(x, y, x[:5], "numeric", {"n_estimators": n, "max_depth": depth})
+        assert grown == [depth] * n
+    # One tree on all rows and columns, without limits, gives its own rows back: with any number of levels and cut points.
+    deep, at = np.arange(300.0)[:, None], 4.0 ** -np.arange(300)
+    for a, b in ((x, y), (deep, at)):
+        votes = np.zeros((len(a), 1))
+        grow(forest, a, b[:, None], a, votes, rng, a.shape[1], None, 2)
+        assert np.allclose(votes[:, 0], b, rtol=1e-9, atol=0)
+    votes = np.zeros((400, 1))
+    grow(forest, x, y[:, None], x, votes, rng, 3, 1, 2)
+    cut = min((((y[m] - y[m].mean()) ** 2).sum() + ((y[~m] - y[~m].mean()) ** 2).sum(), tuple(np.where(m, y[m].mean(), y[~m].mean()))) for f in range(3) for c in np.sort(x[:, f])[:-1] for m in [x[:, f] <= c])
+    assert np.allclose(votes[:, 0], cut[1])
+    words = forest.impute(x, np.where(x[:, 2] > 0.5, "b", "a"), np.array([[0.1, 0.1, 0.9], [0.9, 0.9, 0.1]]), "categorical", {"n_estimators": 50, "max_features": "sqrt"})
+    assert list(words) == ["b", "a"]
