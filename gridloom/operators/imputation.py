@@ -7,7 +7,7 @@ are joined and never put together by position.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import product
 from typing import Protocol
 
@@ -99,26 +99,34 @@ class NearestNeighbours:
     def complexity(self) -> Column:
         return numbers.neighbour_complexity(F.col("n_neighbors"), F.col("metric"), F.col("algorithm"), F.col("weights"), F.col("leaf_size"))
 
-    def impute(self, known, target, wanted, kind, settings):
-        k, out = min(settings.get("n_neighbors", 5), len(known)), []
-        for a in range(0, len(wanted), max(1, 2_000_000 // max(1, known.size))):
-            block = wanted[a : a + max(1, 2_000_000 // max(1, known.size))]
-            gap = np.abs(block[:, None, :] - known[None, :, :])
-            metric, p = settings.get("metric", "euclidean"), settings.get("p") or 2
+    def nearest(self, known: np.ndarray, wanted: np.ndarray, settings: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and positions of the nearest known rows of each wanted one, the nearest first; of equal ones the earlier."""
+        k, step = min(settings.get("n_neighbors", 5), len(known)), max(1, 2_000_000 // max(1, known.size))
+        metric, p = settings.get("metric", "euclidean"), settings.get("p") or 2
+        found = [(np.zeros((0, k)), np.zeros((0, k), int))]
+        for a in range(0, len(wanted), step):
+            gap = np.abs(wanted[a : a + step, None, :] - known[None, :, :])
             d = {"euclidean": lambda: np.sqrt((gap**2).sum(2)), "manhattan": lambda: gap.sum(2), "chebyshev": lambda: gap.max(2, initial=0), "minkowski": lambda: (gap**p).sum(2) ** (1 / p), "hamming": lambda: (gap > 0).mean(2) if gap.shape[2] else gap.sum(2)}[metric]()
             near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            if settings.get("weights") == "distance":
-                w = np.take_along_axis(d, near, 1)
-                exact = w == 0
-                w = np.where(exact.any(1, keepdims=True), exact, 1 / np.where(exact, 1, w)).astype(float)
-            else:
-                w = np.ones(near.shape)
-            values = target[near]
-            if kind == "numeric":
-                out.append((values.astype(float) * w).sum(1) / w.sum(1))
-            else:
-                out.append(np.array([min({v: -wi[vi == v].sum() for v in vi}.items(), key=lambda e: (e[1], e[0]))[0] for vi, wi in zip(values, w, strict=True)], object))
-        return np.concatenate(out) if out else np.array([])
+            found.append((np.take_along_axis(d, near, 1), near))
+        return np.concatenate([d for d, _ in found]), np.concatenate([n for _, n in found])
+
+    def combined(self, d: np.ndarray, values: np.ndarray, kind: str, settings: dict) -> np.ndarray:
+        """Means or most frequent values of neighbours, a row of them for each result."""
+        if settings.get("weights") == "distance":
+            exact = d == 0
+            w = np.where(exact.any(1, keepdims=True), exact, 1 / np.where(exact, 1, d)).astype(float)
+        else:
+            w = np.ones(d.shape)
+        if kind == "numeric":
+            return (values.astype(float) * w).sum(1) / w.sum(1)
+        out = np.empty(len(values), object)
+        out[:] = [min({v: -wi[vi == v].sum() for v in vi}.items(), key=lambda e: (e[1], e[0]))[0] for vi, wi in zip(values, w, strict=True)]
+        return out
+
+    def impute(self, known, target, wanted, kind, settings):
+        d, near = self.nearest(known, wanted, settings)
+        return self.combined(d, target[near], kind, settings)
 
 
 class ChainedEquations:
@@ -142,18 +150,38 @@ class ChainedEquations:
     def complexity(self) -> Column:
         return numbers.chained_complexity(F.col("method"), F.col("n_iter"), F.col("n_impute"), F.col("extra"))
 
+    def moments(self, x: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """Number, means and centred products of the predictors and, last, the column."""
+        z = np.column_stack([x, y.astype(float)])
+        return len(z), z.mean(0), (z - z.mean(0)).T @ (z - z.mean(0))
+
+    def summed(self, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+        """The moments of all rows from those of disjoint parts."""
+        n = sum(k for k, _, _ in parts)
+        mean = sum(k * m for k, m, _ in parts) / n
+        return n, mean, sum(g + k * np.outer(m - mean, m - mean) for k, m, g in parts)
+
+    def coefficients(self, n: int, mean: np.ndarray, gram: np.ndarray, settings: dict) -> np.ndarray:
+        """Factors of the predictors and, last, the constant."""
+        spread, p = np.diag(gram)[:-1] / n, len(mean) - 1
+        scale = np.sqrt(np.where(spread > 1e-24 * np.maximum(1e-300, mean[:-1] ** 2), spread, 1))
+        xx, xy = gram[:-1, :-1] / np.outer(scale, scale), gram[:-1, -1] / scale
+        penalty = 1e-9
+        if settings.get("method") == "bayesian_ridge":
+            whole = np.zeros((p + 1, p + 1))
+            whole[0, 0], whole[1:, 1:] = n, xx
+            penalty = _evidence_ridge(whole, np.array([n * mean[-1], *xy]), gram[-1, -1] + n * mean[-1] ** 2, n, gram[-1, -1] / n)
+        b = np.linalg.solve(xx + (penalty + 1e-12) * np.eye(p), xy) / scale
+        return np.array([*b, mean[-1] - b @ mean[:-1]])
+
     def impute(self, known, target, wanted, kind, settings):
+        if kind == "numeric":
+            b = self.coefficients(*self.moments(known, target), settings)
+            return wanted @ b[:-1] + b[-1]
         mean, scale = known.mean(0), known.std(0)
         scale = np.where(scale > 0, scale, 1)
         design = lambda x: np.column_stack([np.ones(len(x)), (x - mean) / scale])
         x = design(known)
-        if kind == "numeric":
-            y = target.astype(float)
-            penalty = 1e-9
-            if settings.get("method") == "bayesian_ridge":
-                penalty = _evidence_ridge(x, y)
-            gram = x.T @ x + penalty * np.diag([0.0] + [1.0] * (x.shape[1] - 1)) + 1e-12 * np.eye(x.shape[1])
-            return design(wanted) @ np.linalg.solve(gram, x.T @ y)
         labels, y = np.unique(target.astype(str), return_inverse=True)
         weights = np.zeros((x.shape[1], len(labels)))
         onehot = np.eye(len(labels))[y]
@@ -165,16 +193,16 @@ class ChainedEquations:
         return labels[(design(wanted) @ weights).argmax(1)].astype(object)
 
 
-def _evidence_ridge(x: np.ndarray, y: np.ndarray) -> float:
-    """The penalty (noise precision over weight precision inverted) that maximizes the evidence of a ridge regression."""
-    values, vectors = np.linalg.eigh(x.T @ x)
-    projected = vectors.T @ (x.T @ y)
-    alpha, lam = 1 / max(y.var(), 1e-12), 1.0
+def _evidence_ridge(xx: np.ndarray, xy: np.ndarray, yy: float, n: int, variance: float) -> float:
+    """The penalty (noise precision over weight precision inverted) that maximizes the evidence of a ridge regression, from its sums of products."""
+    values, vectors = np.linalg.eigh(xx)
+    projected = vectors.T @ xy
+    alpha, lam = 1 / max(variance, 1e-12), 1.0
     for _ in range(100):
         coefficients = projected / (values + lam / alpha)
-        residual = float(((y - x @ (vectors @ coefficients)) ** 2).sum())
+        residual = max(0.0, float(yy - 2 * coefficients @ projected + coefficients**2 @ values))
         gamma = float((alpha * values / (lam + alpha * values)).sum())
-        new = (max(1e-12, len(y) - gamma) / max(residual, 1e-12), gamma / max(float(coefficients @ coefficients), 1e-12))
+        new = (max(1e-12, n - gamma) / max(residual, 1e-12), gamma / max(float(coefficients @ coefficients), 1e-12))
         if abs(new[0] - alpha) < 1e-8 * alpha and abs(new[1] - lam) < 1e-8 * lam:
             break
         alpha, lam = new
@@ -274,12 +302,12 @@ def candidate_table(spark: SparkSession, name: str, n: int, kind: str, missing:
     return spark.createDataFrame(data, schema).withColumn("complexity", chosen.complexity())
 
 
-def encoded(df: DataFrame, numeric: list[str], categorical: list[str], most_levels: int = 50) -> tuple[DataFrame, list[str]]:
-    """Predictors as numbers: numeric columns as they are, categories as one column for each of their most frequent levels; nulls filled before."""
+def encoded(df: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, list[str]]:
+    """Predictors as numbers: numeric columns as they are, categories as one column for each of their levels, the most frequent first; nulls filled before."""
     whole = filled(df, numeric, categorical)
     names, made = list(numeric), {}
     for c in categorical:
-        levels = [r[0] for r in whole.groupBy(c).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), c).limit(most_levels).collect()]
+        levels = [r[0] for r in whole.groupBy(c).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), c).collect()]
         for i, v in enumerate(levels):
             made[f"{c}__{i}"] = F.col(c).eqNullSafe(F.lit(v)).cast("double")
             names.append(f"{c}__{i}")
@@ -287,31 +315,73 @@ def encoded(df: DataFrame, numeric: list[str], categorical: list[str], most_leve
 
 
 def imputed(df: DataFrame, column: str, numeric: list[str], categorical: list[str], by: str, name: str = "knn", settings: dict | None = None, kind: str = "numeric", row_id: str = "row_id", part: int = 20_000) -> DataFrame:
-    """row_id and value for each row of df in which the column is null, group by group.
+    """row_id and value for each row of df in which the column is null, group by group, from all known rows of the group.
 
-    A group's rows are dealt into parts of about ``part`` rows by a hash of row_id, each imputed from its own known rows, so one task never
-    holds a whole survey of any size; a part without known rows takes the overall mean or mode. No predictors: all rows are equally near.
+    ``part`` bounds what a task holds and doesn't change results. Nearest neighbours compare each block of about so many wanted rows with each block
+    of known ones and keep the nearest of all; regressions of numbers are fitted from moments that are summed over blocks. Logistic regressions and
+    forests learn from a whole group in one task. A group without known rows takes the overall mean or mode. No predictors: all rows are equally near.
     """
-    settings = settings or {}
-    out = "double" if kind == "numeric" else "string"
+    settings, chosen = settings or {}, method(name)
+    out, id_type = "double" if kind == "numeric" else "string", dict(df.dtypes)[row_id]
     x, names = encoded(df.drop(column), numeric, categorical)
-    x = x.select(row_id, *[F.col(c).cast("double").alias(c) for c in names])
-    base = df.select(row_id, by, F.col(column).cast(out).alias("_y"))
-    parts = base.groupBy(by).agg(F.ceil(F.count("*") / part).cast("int").alias("_parts"))
-    rows = base.join(F.broadcast(parts), by).withColumn("_part", F.pmod(F.xxhash64(row_id), F.col("_parts"))).drop("_parts").join(x, row_id)
+    x = x.select(row_id, F.array(*[F.col(c).cast("double") for c in names]).cast("array<double>").alias("_x"))
+    base = df.select(row_id, F.col(by).alias("_by"), F.col(column).cast(out).alias("_y"))
+    blocks = lambda n: F.ceil(n / part).cast("int")
+    sizes = base.groupBy("_by").agg(blocks(F.count("_y")).alias("_known"), blocks(F.count("*") - F.count("_y")).alias("_wanted"))
+    rows = base.join(F.broadcast(sizes), "_by").join(x, row_id)
     default = df.agg((F.avg(column) if kind == "numeric" else F.mode(F.col(column).cast("string"), deterministic=True)).alias("d")).first()[0]
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        known, wanted = pdf[pdf["_y"].notna()], pdf[pdf["_y"].isna()]
-        if not len(wanted):
-            return pd.DataFrame({row_id: [], "value": []})
-        if not len(known):
-            return pd.DataFrame({row_id: wanted[row_id], "value": default})
-        x = lambda p: p[names].to_numpy(float) if names else np.zeros((len(p), 0))
-        known = known.sort_values(row_id)
-        return pd.DataFrame({row_id: wanted[row_id].to_numpy(), "value": method(name).impute(x(known), known["_y"].to_numpy(), x(wanted), kind, settings)})
-
-    return rows.groupBy(by, "_part").applyInPandas(fill, f"{row_id} {dict(df.dtypes)[row_id]}, value {out}")
+    alone = rows.where("_known = 0 and _y is null").select(row_id, F.lit(default).cast(out).alias("value"))
+    rows = rows.where("_known > 0 and _wanted > 0")
+    at = lambda n: F.pmod(F.xxhash64(row_id), F.col(n)).cast("int")
+    matrix = lambda p: np.array(p["_x"].tolist(), float).reshape(len(p), len(names))
+
+    if isinstance(chosen, NearestNeighbours):
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        known = rows.where("_y is not null").withColumn("_k", at("_known")).withColumn("_w", F.explode(every("_wanted")))
+        wanted = rows.where("_y is null").withColumn("_w", at("_wanted")).withColumn("_k", F.explode(every("_known")))
+
+        def near(pdf: pd.DataFrame) -> pd.DataFrame:
+            known, wanted = pdf[pdf["_y"].notna()].sort_values(row_id), pdf[pdf["_y"].isna()]
+            d, found = chosen.nearest(matrix(known), matrix(wanted), settings)
+            pick = lambda c: known[c].to_numpy()[found].ravel()
+            return pd.DataFrame({row_id: np.repeat(wanted[row_id].to_numpy(), found.shape[1]), "d": d.ravel(), "id": pick(row_id), "y": pick("_y")})
+
+        pairs = known.unionByName(wanted).groupBy("_by", "_w", "_k").applyInPandas(near, f"{row_id} {id_type}, d double, id {id_type}, y {out}")
+        merged = pairs.groupBy(row_id).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "y"))), 1, settings.get("n_neighbors", 5)).alias("_n"))
+
+        def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                value, count = np.empty(len(pdf), object), pdf["d"].map(len)
+                for k in count.unique():
+                    m = (count == k).to_numpy()
+                    value[m] = chosen.combined(np.array(pdf["d"][m].tolist()), np.array(pdf["y"][m].tolist(), None if kind == "numeric" else object), kind, settings)
+                yield pd.DataFrame({row_id: pdf[row_id], "value": value.astype(float) if kind == "numeric" else value})
+
+        got = merged.select(row_id, F.col("_n.d").alias("d"), F.col("_n.y").alias("y")).mapInPandas(voted, f"{row_id} {id_type}, value {out}")
+    elif isinstance(chosen, ChainedEquations) and kind == "numeric":
+
+        def moments(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(row_id)
+            n, mean, gram = chosen.moments(matrix(pdf), pdf["_y"].to_numpy())
+            return pd.DataFrame({"_by": pdf["_by"].iloc[:1].to_numpy(), "n": [n], "mean": [mean], "gram": [gram.ravel()]})
+
+        def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+            parts = [(n, np.array(m), np.array(g).reshape(len(m), len(m))) for n, m, g in zip(pdf["n"], pdf["mean"], pdf["gram"], strict=True)]
+            return pd.DataFrame({"_by": pdf["_by"].iloc[:1].to_numpy(), "_b": [chosen.coefficients(*chosen.summed(parts), settings)]})
+
+        by_type = dict(base.dtypes)["_by"]
+        sums = rows.where("_y is not null").groupBy("_by", at("_known").alias("_k")).applyInPandas(moments, f"_by {by_type}, n bigint, mean array<double>, gram array<double>")
+        models = sums.groupBy("_by").applyInPandas(fitted, f"_by {by_type}, _b array<double>")
+        terms = F.zip_with(F.concat("_x", F.array(F.lit(1.0))), "_b", lambda a, b: a * b)
+        got = rows.where("_y is null").join(models, "_by").select(row_id, F.aggregate(terms, F.lit(0.0), lambda s, t: s + t).alias("value"))
+    else:
+
+        def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+            known, wanted = pdf[pdf["_y"].notna()].sort_values(row_id), pdf[pdf["_y"].isna()]
+            return pd.DataFrame({row_id: wanted[row_id].to_numpy(), "value": chosen.impute(matrix(known), known["_y"].to_numpy(), matrix(wanted), kind, settings)})
+
+        got = rows.groupBy("_by").applyInPandas(fill, f"{row_id} {id_type}, value {out}")
+    return got.unionByName(alone)
 
 
 def holdout_error(df: DataFrame, column: str, numeric: list[str], categorical: list[str], by: str, name: str, settings: dict, kind: str = "numeric", row_id: str = "row_id") -> DataFrame:

@@ -297,3 +297,30 @@ def test_forest_grows_as_many_and_as_deep_trees_as_it_is_told(monkeypatch):
     assert np.allclose(votes[:, 0], cut[1])
     words = forest.impute(x, np.where(x[:, 2] > 0.5, "b", "a"), np.array([[0.1, 0.1, 0.9], [0.9, 0.9, 0.1]]), "categorical", {"n_estimators": 50, "max_features": "sqrt"})
     assert list(words) == ["b", "a"]
+
+
+def test_imputed_values_do_not_depend_on_the_size_of_parts(spark):
+    df = spark.range(240).selectExpr("id as row_id", "cast(id % 2 as string) as survey", "case when id % 3 > 0 then cast(id * 17 % 31 as double) end as y", "case when id % 3 > 0 then concat('c', id * 5 % 4) end as c", "cast(id * 37 % 101 as double) as a", "concat('l', id div 4) as many")
+    cases = [
+        ("y", "knn", {"n_neighbors": 5, "weights": "distance"}, "numeric"),
+        ("c", "knn", {"n_neighbors": 7, "metric": "manhattan"}, "categorical"),
+        ("y", "mice", {"method": "linear"}, "numeric"),
+        ("y", "mice", {"method": "bayesian_ridge"}, "numeric"),
+        ("c", "mice", {"method": "logistic"}, "categorical"),
+        ("y", "missforest", {"n_estimators": 5}, "numeric"),
+    ]
+    for column, name, settings, kind in cases:
+        levels = ["many"] if name == "knn" else []
+        a, b = [imputation.imputed(df, column, ["a"], levels, "survey", name, settings, kind, part=p).toPandas().sort_values("row_id") for p in (20_000, 15)]
+        assert list(a.row_id) == list(b.row_id) == list(range(0, 240, 3))
+        assert np.allclose(a.value, b.value, rtol=1e-8) if kind == "numeric" else list(a.value) == list(b.value)
+    # The nearest rows of the whole survey, and a survey without known rows.
+    got = dict(imputation.imputed(df, "y", ["a"], [], "survey", "knn", {"n_neighbors": 3}, part=10).collect())
+    known = [(i, i * 37 % 101, i * 17 % 31) for i in range(240) if i % 3]
+    for i, v in got.items():
+        near = sorted((abs(a - i * 37 % 101), j, y) for j, a, y in known if j % 2 == i % 2)[:3]
+        assert abs(v - sum(n[2] for n in near) / 3) < 1e-9
+    bare = df.withColumn("y", F.when(F.col("survey") == "0", F.col("y")))
+    lone = imputation.imputed(bare, "y", ["a"], [], "survey", "mice", {"method": "linear"}).where("row_id % 2 = 1").collect()
+    assert len(lone) == 120 and len({r.value for r in lone}) == 1
+    assert len(imputation.encoded(df, [], ["many"])[1]) == 60
