@@ -324,3 +324,17 @@ def test_imputed_values_do_not_depend_on_the_size_of_parts(spark):
     lone = imputation.imputed(bare, "y", ["a"], [], "survey", "mice", {"method": "linear"}).where("row_id % 2 = 1").collect()
     assert len(lone) == 120 and len({r.value for r in lone}) == 1
     assert len(imputation.encoded(df, [], ["many"])[1]) == 60
+
+
+def test_mean_intervals_of_whole_groups_of_any_size(spark, monkeypatch):
+    from gridloom import catalog
+    from gridloom.plans import stats as plans
+
+    rows = [(i, 0 if i < 200 else 1, "a", float(i * 7919 % 1009)) for i in range(203)]
+    monkeypatch.setattr(plans, "table", lambda spark, d, name: spark.createDataFrame(rows, "c_custkey int, c_nationkey int, c_mktsegment string, c_acctbal double"))
+    got = {r.c_nationkey: r for r in catalog.QUERIES["a11_mean_interval_whole"](spark, "").collect()}
+    # Quantiles from published tables: 199 and 2 degrees of freedom.
+    for k, t in ((0, 1.971957), (1, 4.302653)):
+        x = np.array([v for _, n, _, v in rows if n == k])
+        half = t * x.std(ddof=1) / math.sqrt(len(x))
+        assert got[k].n == len(x) and abs(got[k].lower - (x.mean() - half)) < 1e-3 and abs(got[k].upper - (x.mean() + half)) < 1e-3
