@@ -100,8 +100,17 @@ def f21(spark, d):
 
 @query("r2_r10_channel_order", f"select vec_id, unnest(range(48)) as k, unnest(list_concat(list_concat(a, b), c)) as first, unnest(flatten(list_transform(range(1, 17), lambda i: [a[i], b[i], c[i]]))) as last from ({_WIDE}) where vec_id % 10 = 0")
 def r2(spark, d):
+    return _channels(_wide(spark, d).where("vec_id % 10 = 0"))
+
+
+@query("r2_r10_channel_order_whole", f"select vec_id, unnest(range(48)) as k, unnest(list_concat(list_concat(a, b), c)) as first, unnest(flatten(list_transform(range(1, 17), lambda i: [a[i], b[i], c[i]]))) as last from ({_WIDE})")
+def r2_whole(spark, d):
+    return _channels(_wide(spark, d))
+
+
+def _channels(rows):
     three = [F.col(x) for x in "abc"]
-    rows = _wide(spark, d).where("vec_id % 10 = 0").withColumn("z", F.arrays_zip(raster.channels_first(*three).alias("first"), F.flatten(raster.stacked(*three)).alias("last")))
+    rows = rows.withColumn("z", F.arrays_zip(raster.channels_first(*three).alias("first"), F.flatten(raster.stacked(*three)).alias("last")))
     return rows.select("vec_id", F.posexplode("z").alias("k", "p")).select("vec_id", F.col("k").cast("bigint").alias("k"), "p.first", "p.last")
 
 
@@ -128,7 +137,15 @@ _FLIP = ", ".join(f"data[{(i // 8) * 8 + (7 - i % 8) + 1}]" for i in range(64))
 
 @query("r9_augmented", f"select cell_id, unnest(range(64)) as k, unnest([{_TURN}]) as turned, unnest([{_FLIP}]) as flipped from ({P.BANDS}) where cell_id % 10 = 0")
 def r9(spark, d):
-    rows = P.bands(spark, d).where("cell_id % 10 = 0")
+    return _turned(P.bands(spark, d).where("cell_id % 10 = 0"))
+
+
+@query("r9_augmented_whole", f"select cell_id, unnest(range(64)) as k, unnest([{_TURN}]) as turned, unnest([{_FLIP}]) as flipped from ({P.BANDS})")
+def r9_whole(spark, d):
+    return _turned(P.bands(spark, d))
+
+
+def _turned(rows):
     args = F.col("data"), F.col("height"), F.col("width")
     z = F.arrays_zip(raster.quarter_turn(*args).alias("turned"), raster.flipped(*args, horizontal=True).alias("flipped"))
     return rows.select("cell_id", F.posexplode(z).alias("k", "p")).select("cell_id", F.col("k").cast("bigint").alias("k"), "p.turned", "p.flipped")

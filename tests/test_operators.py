@@ -338,3 +338,14 @@ def test_mean_intervals_of_whole_groups_of_any_size(spark, monkeypatch):
         x = np.array([v for _, n, _, v in rows if n == k])
         half = t * x.std(ddof=1) / math.sqrt(len(x))
         assert got[k].n == len(x) and abs(got[k].lower - (x.mean() - half)) < 1e-3 and abs(got[k].upper - (x.mean() + half)) < 1e-3
+
+
+def test_whole_queries_reorder_and_turn_every_cell(spark, monkeypatch):
+    from gridloom import catalog
+    from gridloom.plans import imagery as plans
+
+    monkeypatch.setattr(plans, "_wide", lambda spark, d: spark.range(25).selectExpr("id as vec_id", *[f"transform(sequence(1, 16), x -> x + {100 * n}.0) as {c}" for n, c in enumerate("abc")]))
+    monkeypatch.setattr(plans.P, "bands", lambda spark, d: spark.range(25).selectExpr("id as cell_id", "transform(sequence(1, 64), x -> x + 0.0) as data", "8 as height", "8 as width"))
+    for name, key, n in (("r2_r10_channel_order_whole", "vec_id", 48), ("r9_augmented_whole", "cell_id", 64)):
+        got = catalog.QUERIES[name](spark, "").groupBy(key).count().collect()
+        assert sorted(r[key] for r in got) == list(range(25)) and {r["count"] for r in got} == {n}
