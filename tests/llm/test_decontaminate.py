@@ -48,13 +48,46 @@ def test_matches_are_those_of_brute_force(spark):
 
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(2)
-    stored = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
-    queried = stored[rng.integers(0, 50, 300)]
-    for _ in range(12):
-        queried = queried ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
-    q, s = D.HammingIndex(stored, 12).find(queried)
-    brute = np.argwhere(np.bitwise_count(queried[:, None] ^ stored[None, :]) <= 12)
-    assert sorted(zip(q.tolist(), s.tolist(), strict=True)) == sorted(map(tuple, brute.tolist()))
+    draw = lambda *n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    stored = draw(3000, D.WORDS)
+    queried = stored[rng.integers(0, 3000, 200)].copy()
+    for q, flips in zip(queried, rng.integers(100, 135, 200), strict=True):
+        bits = np.zeros(512, np.uint8)
+        bits[rng.choice(512, flips, replace=False)] = 1
+        q ^= np.packbits(bits).view(np.uint64)
+    index = D.HammingIndex(stored, 119)
+    q, s = index.find(queried)
+    brute = np.argwhere(np.bitwise_count(queried[:, None] ^ stored[None, :]).sum(2) <= 119)
+    assert 50 < len(brute) < 200 and sorted(zip(q.tolist(), s.tolist(), strict=True)) == sorted(map(tuple, brute.tolist()))
+    assert len(index.candidates(draw(200, D.WORDS))[0]) < 0.006 * 200 * 3000  # few unrelated ones are looked at
+
+
+def test_pairs_at_the_threshold_lie_within_the_radius():
+    rng = np.random.default_rng(3)
+    beyond = 0
+    for n, other, both in ((14, 13, 12), (23, 22, 20), (46, 46, 41), (50, 49, 44)):
+        h = rng.integers(0, 1 << 64, (2000, n + other - both), dtype=np.uint64)
+        beyond += (np.bitwise_count(D.fingerprints(h[:, :n]) ^ D.fingerprints(h[:, n - both :])).sum(1) > 119).sum()
+    assert beyond <= 2
+
+
+def test_windows_have_the_prints_of_their_shingles():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    h[rng.integers(0, 400, 60)] = h[7]
+    starts = np.concatenate([np.arange(0, 90), np.arange(300, 380, 3)])
+    assert (D.window_fingerprints(h, starts, 20) == D.fingerprints(h[starts[:, None] + np.arange(20)])).all()
+    once, twice = D.numbered(np.array([[5, 9, 5, 5]], np.uint64)), D.numbered(np.array([[9, 5, 5]], np.uint64))
+    assert len(set(once[0].tolist())) == 4 and set(twice[0].tolist()) < set(once[0].tolist())
+
+
+def test_few_shingles_and_heavy_ones(spark):
+    item = " ".join(f"k{i}" for i in range(9))
+    heavy = "go " * 30 + " ".join(f"v{i}" for i in range(100))
+    docs = [(1, " ".join(f"k{i}" for i in range(8))), (2, " ".join(f"k{i}" for i in range(1, 9))), (3, "k0 k1 k2"), (4, "x " * 50 + " ".join(f"v{i}" for i in range(100)) + " y" * 50), (5, "go " * 17 + " ".join(f"v{i}" for i in range(100)))]
+    bench = [(1, item), (2, heavy), (3, "k1 k2"), (4, "k7 k8")]
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    assert got == truth(docs, bench).keys() >= {(1, 1), (2, 1), (3, 3)}
 
 
 def test_awkward_rows(spark):
