@@ -6,9 +6,10 @@ are its term maxima; a query's bound for it is the sum over its own terms of wei
 takes the blocks in order of their bounds and scores them through their forward index, the block's rows, until a bound is below its
 k-th score. Equal bounds are still scored, as ties go to smaller ids.
 
-Queries are taken in blocks of a fixed number, broadcast one block at a time; each block is one pass over the rows, and each task
-of it keeps k rows per query, so that nothing broadcast or collected grows with the data. A query block starts with the k-th
-scores among a fixed number of its own rows as candidates, which are true lower bounds.
+Queries are taken in blocks of a fixed number, and a fixed number of such blocks is broadcast at a time; these are one pass over the rows, in
+which each task carries the k best rows of each query over all its batches and gives them out at its end, so that nothing broadcast or collected
+grows with the data. A query starts with the k-th score among a fixed number of the broadcast rows as candidates, which is a true lower
+bound, and goes on with the k-th of the rows that its task has seen.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without id; a
 shorter vector has zeros in the missing places; rows with the query's own id are not its candidates; a query id that is
@@ -38,6 +39,7 @@ class TopKConfig:
     scale: int = 256
     block: int = 64
     queries: int = 4096
+    blocks_per_pass: int = 8
     seeds: int = 2048
 
 
@@ -103,18 +105,38 @@ class BlockIndex:
         return a * b * max(1, queries.shape[1]) < 2**53
 
 
+class Best:
+    """The k best rows seen of each query: positions, ids and scores, and the score that a further row must reach."""
+
+    def __init__(self, floor: np.ndarray, k: int) -> None:
+        self.k, self.floor = k, floor.copy()
+        self.at = self.ids = self.scores = np.zeros(0, np.int64)
+
+    def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        at, ids, scores = (np.concatenate([old, new.astype(np.int64)]) for old, new in ((self.at, at), (self.ids, ids), (self.scores, scores)))
+        order = np.lexsort((ids, ~scores, at))  # ~s falls as s grows, for every 64-bit number
+        at, ids, scores = at[order], ids[order], scores[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        full = rank == self.k - 1
+        self.floor[at[full]] = np.maximum(self.floor[at[full]], scores[full])
+        keep = rank < self.k
+        self.at, self.ids, self.scores = at[keep], ids[keep], scores[keep]
+
+
 def _search_blocks(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, config: TopKConfig) -> DataFrame:
-    seeds = BlockIndex(ids[: config.seeds], vectors[: config.seeds], config.block)
-    floor = np.full(len(ids), -(2.0**62))
-    p, _, s = seeds.search(ids, vectors, floor, config.k)
-    counts = np.bincount(p, minlength=len(ids))
-    low = np.full(len(ids), np.inf)
-    np.minimum.at(low, p, s.astype(float))
-    floor = np.where(counts >= config.k, low, floor)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, vectors, floor))
+    def into(best: Best, index: BlockIndex, ids: np.ndarray, queries: np.ndarray) -> None:
+        for a in range(0, len(ids), config.queries):
+            b = a + config.queries
+            at, found, scores = index.search(ids[a:b], queries[a:b], best.floor[a:b], config.k)
+            best.add(at + a, found, scores)
+
+    seeds = Best(np.full(len(ids), np.iinfo(np.int64).min), config.k)
+    into(seeds, BlockIndex(ids[: config.seeds], vectors[: config.seeds], config.block), ids, vectors)
+    shared = rows.sparkSession.sparkContext.broadcast((ids, vectors, seeds.floor))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, floor = shared.value
+        best = Best(floor, config.k)
         for x in batches:
             held = x.column(1).to_pylist()
             if not held:
@@ -122,8 +144,8 @@ def _search_blocks(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, config
             dims = max(queries.shape[1], *(len(h) for h in held))
             wide = np.zeros((len(queries), dims), np.int64)
             wide[:, : queries.shape[1]] = queries
-            p, i, s = BlockIndex(x.column(0).to_numpy(), matrix(held, dims), config.block).search(ids, wide, floor, config.k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(i), pa.array([int(v) for v in s], pa.int64())], ["query_id", "vec_id", "score"])
+            into(best, BlockIndex(x.column(0).to_numpy(), matrix(held, dims), config.block), ids, wide)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best.at]), pa.array(best.ids), pa.array(best.scores)], ["query_id", "vec_id", "score"])
 
     return rows.mapInArrow(search, SCHEMA)
 
@@ -142,7 +164,7 @@ def top_k(vectors: DataFrame, every: int = 50, config: TopKConfig = TopKConfig()
     for r in asked.toLocalIterator():
         ids.append(r[0])
         vs.append(r[1])
-        if len(ids) == config.queries:
+        if len(ids) == config.queries * config.blocks_per_pass:
             flush()
             ids, vs = [], []
     if ids:
