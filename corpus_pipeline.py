@@ -1,4 +1,9 @@
-"""From raw documents to token files: each stage's result is written and read again as the next one's documents."""
+"""From raw documents to token files: each stage's result is written and read again as the next one's documents.
+
+Defined results: null, empty and wordless texts have a quality score like any other, are copies of nothing and hold no benchmark item; rows without
+doc_id are no copies of each other; repeated doc_ids are one document to near-dedup, which keeps one row; a stage that leaves no row gives the next an empty table; further columns,
+whatever their names, come through to the token files, which hold ids only; scores of exactly 0.5 are accepted.
+"""
 
 from __future__ import annotations
 
@@ -15,10 +20,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Domains of what the quality stage keeps, and the parts of all tokens that they should have.
-MIX = mixing.MixConfig(domains={d: mixing.DOMAINS[d] for d in ("clean", "toxic")}, targets={"clean": 0.98, "toxic": 0.02}, margin=1.0)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good; it learns from the labelled rows among them."""
     return quality.accepted(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -35,8 +36,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say: clean ones whole, toxic ones thinned to their target. Junk has gone before."""
-    return mixing.mixed(docs, _table(spark, sf_dir, "labels"), MIX)
+    """Documents as often as their rates say: clean ones whole, those of the other domains thinned or repeated to their targets."""
+    return mixing.mixed(docs, _table(spark, sf_dir, "labels"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
