@@ -10,14 +10,17 @@ registers are the bands; 42 of them miss a pair at 0.85 with probability 2e-9, a
 3. Pairs whose collision-corrected estimate isn't five deviations below the threshold are confirmed on their full sets. For that the
    texts of a class and of those paired with it meet in one task, in salted parts of bounded size.
 4. Components are formed. Buckets whose members are all in one component are done. In the others members in different components are
-   compared block by block inside a task, by their registers and then by their full sets, so only links are emitted and joined to the
-   components. No cap is set anywhere.
+   compared block by block inside a task by their registers; a member goes on only if the estimate allows it some link there. What goes on meets again
+   with its text, block by block, and links are confirmed on the full sets, so only members and links are emitted, never pairs that aren't links. Blocks are bounded by
+   members and by shingles. No cap is set anywhere. Comparing registers is quadratic in the members of a bucket that stay unconnected; texts are repeated
+   only for members that go on.
 
-Joins of tables that grow with the input are sort-merge joins at every size, so a plan tested on little data is the plan for much, and the
-engine may split their hot keys.
+Joins of large rows (texts, registers) are sort-merge joins at every size, so a plan tested on little data is the plan for much, and the
+engine may split their hot keys; other sides are broadcast only where the engine has measured them to be small.
 
 Defined results: null, empty and wordless texts have no shingle, are linked with nothing and are kept; rows that repeat a doc_id are
-one document and share a component; rows without doc_id keep a null component and are kept; other columns aren't touched.
+one document, share a component and leave one row (of texts that differ, that with the smallest hash); rows without doc_id keep a null component and are
+kept; equal sets are one class, whatever their number; whole texts of any length count; empty tables give empty results; other columns aren't touched.
 """
 
 from __future__ import annotations
@@ -45,6 +48,7 @@ class NearDedupConfig:
     rows: int = 6
     part: int = 1000
     block: int = 2000
+    block_shingles: int = 2_000_000
 
 
 _PROBES = (mix(np.arange(48 * BUCKETS, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64).reshape(48, BUCKETS)
@@ -174,59 +178,79 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, config: NearDedupConfig) -> Da
     return met.repartition("a", "part").sortWithinPartitions("a", "part", "member").mapInArrow(compare, "u bigint, v bigint")
 
 
-def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, config: NearDedupConfig) -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch], schema: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that follow one another with the same first three columns, without these."""
+    at, held = None, []
+    for x in batches:
+        for *key, in zip(*(x.column(c).to_pylist() for c in schema), strict=True):
+            if at != tuple(key[:3]):
+                if held:
+                    yield at, held
+                at, held = tuple(key[:3]), []
+            held.append(tuple(key[3:]))
+    if held:
+        yield at, held
+
+
+_MET = "key bigint, i int, j int, block int, id bigint, component bigint, n_shingles bigint, registers binary"
+
+
+def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, config: NearDedupConfig, folder: str) -> DataFrame:
     """In buckets that hold more than one component, the links between members of different ones: u, v.
 
-    Members meet block by block; registers tell which pairs may reach the threshold, the full sets whether they do. A pair that shares several
-    buckets is confirmed in that of its first common band.
+    Members meet block by block, first with their registers, which tell who may reach the threshold with whom, then those that may with their texts.
+    A pair that shares several buckets is compared in that of its first common band.
     """
     t = config.percent / 100
     placed = shared.join(labels.hint("merge"), shared["id"] == labels["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    mixed = mixed.select("key", F.ceil(F.col("n") / config.block).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "key").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-    rows = rows.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    rows = rows.join(classes.select(F.col("doc_id").alias("id"), "n_shingles", "registers").hint("merge"), "id").join(texts.hint("merge"), "id")
-
-    def links(key: int, whole: bool, held: list[tuple]) -> Iterator[tuple[int, int]]:
-        block, ids, comp = (np.array([r[c] for r in held]) for c in range(3))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    rows = placed.join(mixed, "key").join(classes.select(F.col("doc_id").alias("id"), "n_shingles", "registers").hint("merge"), "id")
+    rows = stored(rows.select("key", "id", "component", "n_shingles", "registers"), f"{folder}/unconnected")
+    blocks = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / config.block), F.ceil(F.sum("n_shingles") / config.block_shingles)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "registers")
+    names = [c.split()[0] for c in _MET.split(", ")]
+
+    def pairs(key: tuple, held: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+        """Positions p and q that may be linked, q after p."""
+        block, comp = (np.array([r[c] for r in held]) for c in (0, 2))
         n = np.array([r[3] for r in held], float)
         regs = np.frombuffer(b"".join(r[4] for r in held), np.uint16).reshape(-1, BUCKETS)
         keys = bands(regs, config.rows)
-        sets: list[np.ndarray] = []
         for p in range(len(held) - 1):
-            at = np.flatnonzero((comp[p + 1 :] != comp[p]) & (whole | (block[p + 1 :] != block[p]))) + p + 1
+            at = np.flatnonzero((comp[p + 1 :] != comp[p]) & (key[1] == key[2] or block[p + 1 :] != block[p])) + p + 1
             at = at[np.minimum(n[at], n[p]) >= t * np.maximum(n[at], n[p]) - 1e-9]
             if len(at):
                 at = at[estimate(regs[at], regs[p], n[at], n[p]) >= least_estimate(n[at], n[p], t)]
             if len(at):
-                at = at[keys[p][(keys[at] == keys[p]).argmax(1)] == key]
+                at = at[keys[p][(keys[at] == keys[p]).argmax(1)] == key[0]]
             if len(at):
-                sets = sets or list(shingle_sets(pa.array([r[5] for r in held], pa.string()), config.shingle))
+                yield p, at
+
+    def going_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in _runs(batches, names):
+            go = sorted({x for p, at in pairs(key, held) for x in (p, *at.tolist())})
+            columns = list(zip(*(key + held[x] for x in go), strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names)
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in _runs(batches, [*names, "text"]):
+            sets = list(shingle_sets(pa.array([r[5] for r in held], pa.string()), config.shingle))
+            u, v = [], []
+            for p, at in pairs(key, held):
                 for q in at.tolist():
                     both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
                     if 100 * both >= config.percent * (len(sets[p]) + len(sets[q]) - both):
-                        yield int(ids[p]), int(ids[q])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def flushed() -> pa.RecordBatch:
-            got = list(links(at[0], at[1] == at[2], held)) if held else []
-            return pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], pa.int64()) for c in (0, 1)], ["u", "v"])
-
-        for x in batches:
-            for key, i, j, *rest in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                if at != (key, i, j):
-                    yield flushed()
-                    at, held = (key, i, j), []
-                held.append(tuple(rest))
-        yield flushed()
+                        u.append(held[p][1])
+                        v.append(held[q][1])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    dealt = rows.select("key", "i", "j", "block", "id", "component", "n_shingles", "registers", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return dealt.mapInArrow(scan, "u bigint, v bigint").distinct()
+    dealt = lambda x: x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    going = stored(dealt(rows).mapInArrow(going_on, _MET), f"{folder}/going-on")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    met = going.join(texts.hint("merge"), "id").select(*names, "text")
+    return dealt(met).mapInArrow(confirmed, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, config: NearDedupConfig = NearDedupConfig(), folder: str | None = None) -> DataFrame:
@@ -254,7 +278,7 @@ def near_duplicates(docs: DataFrame, config: NearDedupConfig = NearDedupConfig()
     links = stored(_confirmed(first, docs, config), f"{folder}/links-1")
     copies = member_of.where("doc_id <> class").select(F.col("doc_id").alias("u"), F.col("class").alias("v"))
     labels = components(links, f"{folder}/components-1")
-    more = stored(_across(shared, labels, classes, docs, config), f"{folder}/links-2")
+    more = stored(_across(shared, labels, classes, docs, config, folder), f"{folder}/links-2")
     labels = stored(components(links.union(more), f"{folder}/components-2"), f"{folder}/labels")
     multiple = member_of.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")  # one id with different texts
     if not multiple.isEmpty():
@@ -270,5 +294,16 @@ def near_duplicates(docs: DataFrame, config: NearDedupConfig = NearDedupConfig()
 def deduplicated(docs: DataFrame, config: NearDedupConfig = NearDedupConfig(), folder: str | None = None) -> DataFrame:
     """One document of each group, that with the smallest doc_id, with the columns it came with."""
     folder = folder or shared_folder(docs.sparkSession, "near-dedup")
-    gone = stored(near_duplicates(docs, config, folder).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), f"{folder}/gone")
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    seen = near_duplicates(docs, config, folder)
+    gone = stored(seen.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), f"{folder}/gone")
+    left = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    ids = docs.select(F.col("doc_id").alias("_repeated")).where("_repeated is not null").groupBy("_repeated").agg(F.count("*").alias("_n")).where("_n > 1")
+    repeated = stored(ids.select("_repeated"), f"{folder}/repeated")
+    if repeated.isEmpty():
+        return left
+    # Of rows with one id that of the smallest text hash stays; rows that are equal in that too are told apart by nothing that matters.
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    again = left.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_semi")
+    least = again.groupBy(F.col("doc_id").alias("_id")).agg(F.min(mark).alias("_mark"))
+    one = again.withColumn("_hash", mark).join(least, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_mark")), "left_semi").drop("_hash").dropDuplicates(["doc_id"])
+    return left.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_anti").unionByName(one)

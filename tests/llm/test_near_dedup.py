@@ -43,11 +43,11 @@ def corpus(seed=5, groups=25, chain=6):
     return rows
 
 
-@pytest.mark.parametrize("percent,part,block", [(85, 1000, 2000), (80, 2, 3)])
-def test_components_are_those_of_brute_force(spark, percent, part, block):
+@pytest.mark.parametrize("percent,part,block,block_shingles", [(85, 1000, 2000, 2_000_000), (80, 2, 3, 2_000_000), (85, 1000, 2000, 300)])
+def test_components_are_those_of_brute_force(spark, percent, part, block, block_shingles):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = N.near_duplicates(docs, N.NearDedupConfig(percent=percent, part=part, block=block)).collect()
+    got = N.near_duplicates(docs, N.NearDedupConfig(percent=percent, part=part, block=block, block_shingles=block_shingles)).collect()
     wanted = truth(rows, percent)
     text = dict(rows)
     assert len(got) == len(rows)
@@ -67,7 +67,9 @@ def test_awkward_rows(spark):
     assert got[5][0].component_id == 4 and got[7][0].component_id == 6 and got[None][0].component_id is None and got[None][0].kept
     assert {r.component_id for r in got[8] + got[9]} == {8}
     kept = N.deduplicated(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 8, 8]
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 8]  # rows of one id are one document
+    other = N.deduplicated(spark.createDataFrame([(8, "x y z a b c"), (8, "x y z a b c"), (8, "p q r s t u")], "doc_id bigint, text string")).collect()
+    assert len(other) == 1
     assert N.near_duplicates(docs.limit(0)).count() == 0
 
 
