@@ -4,13 +4,16 @@ Documents in ascending id order are one stream of token ids, cut into sequences
 IPC file whose batches hold a fixed-size list of ids and one of mask bits (false: padding after the shard's last id),
 so sequence i is found by arithmetic and read without a copy from a memory map or a buffer. Each batch carries, as
 its metadata, the documents that begin in it, so a shard is complete by itself. Shards are written by the tasks of one range
-partitioned job under a temporary name and then renamed, so a task that runs again replaces its own file.
+partitioned job under a temporary name and then renamed, so a task that runs again replaces its own files. A task ends a shard and begins the next
+once it holds ``shard_ids`` ids, so shards are bounded but for one document; they are read back by ranges of batches, each by a task of its own, which
+holds no more than a few batches and the document it is at.
 
-The tokenizer is never trained here. White space separates words for the vocabularies used, so a word's ids don't depend on its
-neighbours and are looked up once; ``whole_texts=True`` is for vocabularies where they do.
+The tokenizer is never trained here. Where white space only separates words (its description says so: the pre-tokenizer splits at it and keeps none
+of it, and neither normalizer nor model joins across it), a word's ids don't depend on its neighbours and are looked up once. Any other
+tokenizer encodes whole texts; ``whole_texts=True`` demands that.
 
-Defined results: null and empty texts give the end id alone; repeated doc_ids are all written, ties ordered by text;
-a null doc_id sorts first; an empty table gives no shard and no row.
+Defined results: null and empty texts give the end id alone; whole texts of any length are encoded; repeated doc_ids are all written, ties ordered by
+text; a null doc_id sorts first; an empty table gives no shard and no row; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ class TokenFileConfig:
     batch: int = 512
     whole_texts: bool = False
     memo: int = 300_000
+    shard_ids: int = 1 << 28
+    batches_per_task: int = 64
 
 
 class _Memo:
@@ -71,6 +76,21 @@ class _Memo:
 _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _separates_words(described: dict) -> bool:
+    """Whether a tokenizer gives a text the ids of its words, one after the other, as its description shows.
+
+    Known to do so: a pre-tokenizer whose first step drops white space, either by splitting at it or by taking out what matches a pattern of
+    letters, numbers and others than white space, with a normalizer of case, white space and composition alone, and no added token that holds white space.
+    """
+    steps = lambda x, many: [] if x is None else [y for z in x[many] for y in steps(z, many)] if x["type"] == "Sequence" else [x]
+    first = next(iter(steps(described["pre_tokenizer"], "pretokenizers")), {"type": None})
+    pattern = str(first.get("pattern", {}).get("Regex", ""))
+    drops = first["type"] in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer") or first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s\p{L}\p{N}]+" in pattern and r"\s" not in pattern.replace(r"[^\s\p{L}\p{N}]+", "")
+    plain = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"].get("Regex") == r"\s+" and x["content"] == " " for x in steps(described["normalizer"], "normalizers"))
+    whole = all(not any(c.isspace() for c in t["content"]) and not t["lstrip"] and not t["rstrip"] for t in described["added_tokens"])
+    return drops and plain and whole
+
+
 class Encoder:
     """Ids of texts as bytes: 16 bits each where the vocabulary allows it, else 32.
 
@@ -92,6 +112,7 @@ class Encoder:
 
         self.closes = self.bare = None
         described = json.loads(self.tokenizer.to_str())
+        self.whole_texts = config.whole_texts or not _separates_words(described)
         suffix = described["model"].get("end_of_word_suffix")
         if suffix and self.lower and "[\\\\p{L}]+" in json.dumps(described["pre_tokenizer"]):
             self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -129,7 +150,7 @@ class Encoder:
         return core.lower() if self.lower and b"<|" not in core else core, tail
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.config.whole_texts:
+        if self.whole_texts:
             return [x + self.end for x in self._encode(texts)]
         rows = [t.encode().split() for t in texts]
         if new := self.memo.missing(set().union(*rows)):
@@ -200,16 +221,21 @@ class ShardWriter:
 
 
 class Shard:
-    """Random access to a shard in a buffer or a memory map."""
+    """Random access to a shard in a buffer, a memory map or a file; of the latter only the batches asked for are read."""
 
     def __init__(self, source: pa.Buffer | pa.NativeFile) -> None:
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("ids").type.list_size
+        self.batches = self.file.num_record_batches
+        self._recent: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def batches(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        for i in range(self.file.num_record_batches):
+    def batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch, a view of the file's bytes, and the documents that begin in it."""
+        if i not in self._recent:
             got = self.file.get_batch_with_custom_metadata(i)
-            yield got.batch, np.frombuffer(got.custom_metadata[b"documents"], _DOC)
+            ids = got.batch.column(0).flatten().to_numpy(zero_copy_only=True)
+            self._recent = dict(list(self._recent.items())[-1:]) | {i: (ids, np.frombuffer(got.custom_metadata[b"documents"], _DOC))}
+        return self._recent[i]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids, a view of the file's bytes, and mask of sequence i."""
@@ -219,78 +245,96 @@ class Shard:
         ids, mask = (batch.column(c).flatten()[a : a + self.length] for c in (0, 1))
         return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
-    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """doc_id, start within the shard, ids of each document."""
-        held: np.ndarray | None = None
-        base, waiting = 0, []
-        for batch, docs in self.batches():
-            ids = batch.column(0).flatten().to_numpy(zero_copy_only=True)
-            held = ids if held is None else np.concatenate([held, ids])
-            waiting += docs.tolist()
-            done = 0
-            for doc, known, start, n in waiting:
-                if start + n > base + len(held):
-                    break
-                yield doc if known else None, start, held[start - base : start - base + n]
-                done += 1
-            waiting = waiting[done:]
-            cut = (waiting[0][2] if waiting else base + len(held)) - base
-            held, base = held[cut:], base + cut
-
-
-def write_shards(docs: DataFrame, folder: str, config: TokenFileConfig) -> list[tuple[int, int, int]]:
-    """Writes the shards and returns (shard, documents, ids) of each that has any, in order. docs: doc_id, text."""
+    def documents(self, first: int = 0, last: int | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """doc_id, start within the shard, ids of each document that begins in batches first to last - 1."""
+        last = self.batches if last is None else min(last, self.batches)
+        size = len(self.batch(0)[0]) if first < last else 0
+        for i in range(first, last):
+            ids, docs = self.batch(i)
+            for doc, known, start, n in docs.tolist():
+                end, parts = start + n, [ids[start - i * size : start - i * size + n]]
+                for j in range(i + 1, -(-end // size)):
+                    parts.append(self.batch(j)[0][: end - j * size])
+                yield doc if known else None, start, parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+
+
+def write_shards(docs: DataFrame, folder: str, config: TokenFileConfig) -> list[tuple[int, int, int, int, int]]:
+    """Writes the shards and returns (task, part, documents, ids, batches) of each, in order. docs: doc_id, text."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, path = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        where, path = _opened(folder)
         task = TaskContext.get()
-        shard, name = task.partitionId(), f"{path}/ids-{task.partitionId():06d}.arrow"
-        encode, writer, sink, n = None, None, None, 0
-        gc.disable()  # words and ids are no cycles, but there are many of them
-        for x in batches:
-            for at in range(0, x.num_rows, 256):
-                some = x.slice(at, 256)
-                if writer is None:
-                    encode = encoder(config)
-                    where.create_dir(path, recursive=True)
-                    sink = where.open_output_stream(temporary := f"{path}/.{shard}-{task.taskAttemptId()}")
-                    writer = ShardWriter(sink, encode.dtype, config)
-                for doc, ids in zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    writer.add(doc, ids)
-                n += some.num_rows
-        gc.enable()
-        if writer is not None:
+        shard, temporary = task.partitionId(), f"{path}/.{task.partitionId()}-{task.taskAttemptId()}"
+        encode = writer = sink = None
+        done: list[tuple[int, int, int, int, int]] = []
+        n = 0
+
+        def closed() -> None:
             writer.close()
             sink.close()
+            name = f"{path}/{shard_name(shard, len(done))}"
             try:
                 where.move(temporary, name)
             except OSError:  # a store that doesn't replace: what is there is the same shard by an earlier attempt
                 where.delete_file(name)
                 where.move(temporary, name)
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([n]), pa.array([writer.count])], ["shard", "documents", "ids"])
+            done.append((shard, len(done), n, writer.count, -(-writer.count // writer.size)))
+
+        gc.disable()  # words and ids are no cycles, but there are many of them
+        try:
+            for x in batches:
+                for at in range(0, x.num_rows, 256):
+                    some = x.slice(at, 256)
+                    encode = encode or encoder(config)
+                    for doc, ids in zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                        if writer is None:
+                            where.create_dir(path, recursive=True)
+                            sink = where.open_output_stream(temporary)
+                            writer, n = ShardWriter(sink, encode.dtype, config), 0
+                        writer.add(doc, ids)
+                        n += 1
+                        if writer.count >= config.shard_ids:
+                            closed()
+                            writer = None
+            if writer is not None:
+                closed()
+        finally:
+            gc.enable()
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in range(5)], ["shard", "part", "documents", "ids", "batches"])
 
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
     with setting(docs.sparkSession, BATCH, "500"), setting(docs.sparkSession, CLEANUP, "true"):
-        return sorted(tuple(r) for r in dealt.mapInArrow(write, "shard bigint, documents bigint, ids bigint").collect())
+        return sorted(tuple(r) for r in dealt.mapInArrow(write, "shard bigint, part bigint, documents bigint, ids bigint, batches bigint").collect())
+
+
+def shard_name(task: int, part: int) -> str:
+    return f"ids-{task:06d}-{part:05d}.arrow"
 
 
-def read_shards(spark: SparkSession, folder: str, shards: list[tuple[int, int, int]]) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and the shard; start counts the ids of all documents before."""
+def read_shards(spark: SparkSession, folder: str, shards: list[tuple[int, int, int, int, int]], config: TokenFileConfig | None = None) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and the shard's number; start counts the ids of all documents before."""
+    step = config.batches_per_task if config else TokenFileConfig.batches_per_task
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, path = _opened(folder)
         for x in batches:
-            for shard, content in zip(x.column(0).to_pylist(), x.column(1), strict=True):
-                rows = [(d, s, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, s, ids in Shard(content.as_buffer()).documents()]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], ["shard", "doc_id", "_start", "n_tokens", "ids_crc32"])
+            for number, name, before, first in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                with where.open_input_file(f"{path}/{name}") as source:
+                    rows = [(d, before + s, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), number) for d, s, ids in Shard(source).documents(first, first + step)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
-    schema = "shard bigint, doc_id bigint, _start bigint, n_tokens bigint, ids_crc32 bigint"
+    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard bigint"
     if not shards:
-        return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard bigint")
-    before, offsets = 0, []
-    for shard, _, n in shards:
-        offsets.append((shard, before))
+        return spark.createDataFrame([], schema)
+    before, files, ranges = 0, [], 0
+    for number, (task, part, _, n, batches) in enumerate(shards):
+        files.append((number, shard_name(task, part), before, batches))
         before += n
-    table = F.broadcast(spark.createDataFrame(offsets, "shard bigint, before bigint"))  # a row for each partition of the writing job
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.arrow").load(folder)
-    ids = files.select(F.regexp_extract("path", r"ids-(\d+)\.arrow$", 1).cast("bigint").alias("_shard"), "content").mapInArrow(read, schema)
-    return ids.join(table, "shard").select("doc_id", (F.col("_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard")
+        ranges += -(-batches // step)
+    table = spark.createDataFrame(files, "shard bigint, name string, before bigint, batches bigint")
+    asked = table.select("shard", "name", "before", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("batches") - 1, F.lit(step).cast("bigint"))).alias("first"))
+    return asked.repartition(ranges).mapInArrow(read, schema)

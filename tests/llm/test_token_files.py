@@ -20,10 +20,11 @@ def encoded(text):
 def test_files_give_back_what_the_tokenizer_says(spark, tmp_path):
     rows = [(5, "Hello, World! don't IT'S"), (2, None), (9, ""), (3, "x<|endoftext|>y É ΑΣ. á, ½ ²x _a_ --"), (None, "first"), (4, "w " * 30_000), (7, "same"), (7, "same"), (8, "#### 123abc4 日本語! ok?!")]
     docs = awkward(spark, rows).repartition(3)
-    for config in (T.TokenFileConfig(PATH, 1, length=16, batch=4), T.TokenFileConfig(PATH, 1), T.TokenFileConfig(PATH, 1, memo=1), T.TokenFileConfig(PATH, 1, whole_texts=True)):
+    for config in (T.TokenFileConfig(PATH, 1, length=16, batch=4), T.TokenFileConfig(PATH, 1), T.TokenFileConfig(PATH, 1, length=8, batch=2, shard_ids=9, batches_per_task=2), T.TokenFileConfig(PATH, 1, memo=1), T.TokenFileConfig(PATH, 1, whole_texts=True)):
         folder = f"file://{tmp_path}/{abs(hash(config))}"
         shards = T.write_shards(docs, folder, config)
-        got = sorted(T.read_shards(spark, folder, shards).collect(), key=lambda r: r.start)
+        assert config.shard_ids > 9 or len(shards) > 2
+        got = sorted(T.read_shards(spark, folder, shards, config).collect(), key=lambda r: r.start)
         wanted = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
         assert [r.doc_id for r in got] == [r[0] for r in wanted]
         start = 0
@@ -50,3 +51,21 @@ def test_sequences_are_views_of_the_file(tmp_path):
     ids, mask = shard.sequence(4)
     assert mask.tolist() == [True] + [False] * 7 and ids[0] == 32
     assert [(d, s, x.tolist()) for d, s, x in shard.documents()] == [(1, 0, list(range(20))), (2, 20, list(range(20, 33)))]
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    plain, texts = Tokenizer.from_file(path), ["two  words\n and 3 more", "", " x "]
+    got = T.Encoder(T.TokenFileConfig(path, 50256))
+    assert got.whole_texts and not T.Encoder(T.TokenFileConfig(PATH, 1)).whole_texts
+    assert [np.frombuffer(x, got.dtype).tolist() for x in got(texts)] == [[*plain.encode(t, add_special_tokens=False).ids, 50256] for t in texts]
+
+
+def test_a_failing_task_leaves_the_collector_on(spark, tmp_path):
+    import gc
+
+    with pytest.raises(Exception, match="none"):
+        T.write_shards(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), f"file://{tmp_path}", T.TokenFileConfig("/none.json", 1))
+    assert gc.isenabled()
