@@ -62,10 +62,3 @@ def test_other_tokenizers_get_whole_texts():
     assert got.whole_texts and not T.Encoder(T.TokenFileConfig(PATH, 1)).whole_texts
     assert [np.frombuffer(x, got.dtype).tolist() for x in got(texts)] == [[*plain.encode(t, add_special_tokens=False).ids, 50256] for t in texts]
 
-
-def test_a_failing_task_leaves_the_collector_on(spark, tmp_path):
-    import gc
-
-    with pytest.raises(Exception, match="none"):
-        T.write_shards(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), f"file://{tmp_path}", T.TokenFileConfig("/none.json", 1))
-    assert gc.isenabled()
