@@ -1,23 +1,27 @@
 """Repeated long spans by De Bruijn compaction.
 
-Windows of ``window`` consecutive words are the edges of a De Bruijn graph over the corpus. Edges are not stored one by one: a run of
-consecutive windows that share their minimizer (the smallest hash of an eight-word run inside a window) is a segment. Equal
-windows have equal minimizers, so all occurrences of an edge lie in segments of one minimizer.
+Windows of ``window`` consecutive words are the edges of a De Bruijn graph over the corpus; its nodes are the runs of one word less in which
+edges meet. Edges aren't stored one by one where they needn't be: a run of consecutive windows that share their minimizer (the smallest hash of
+a six-word run inside a window) is a segment. Equal windows have equal minimizers, so all occurrences of an edge lie in segments of one minimizer.
 
 1. One pass over the texts gives the segments: minimizer, digest of the segment's words, source coordinates.
-2. Minimizers that occur once can't hold a repeated edge. Of the others, those with one digest are nonbranching: every
-   occurrence is the same words. A join on source coordinates chains segments whose occurrences follow one another
-   into paths; occurrences of a path in a document compact into one span.
-3. Minimizers with several digests are where paths branch. There the first occurrence of each digest is cut into single edges,
-   read from the source coordinates in the texts, and compared by digests of their words; other occurrences repeat the first.
-4. Every occurrence of an edge but the first in the corpus is removed.
-
-Digests are BLAKE2b of the words themselves, so what is called equal is equal words, not only equal rolling hashes. Hot
-segments and edges are counted before they are shuffled, and met by joins that the engine may split.
-
-Defined results: null, empty and wordless texts have no words; the order of occurrences is (doc_id, start); rows that repeat a doc_id
-are told apart by nothing, so windows of one such row that stand at the same place in another aren't repeats; rows without doc_id
-keep their words and make no other row lose any.
+2. Minimizers that occur once can't hold a repeated edge. Of the others, a minimizer with one digest is one long edge: every
+   occurrence is the same words. Minimizers with several digests are where paths branch: the first occurrence of each digest is cut into
+   single edges, read from the source coordinates in the texts, and grouped by digests of their words; other occurrences repeat the first.
+3. The repeated edges, long and single ones, are a graph: each leads from the node of its first words to that of its last. An
+   aggregation counts the edges that end and begin in each node. Where one ends and one begins, as often as each other, and the second follows the first at its
+   source, they are linked; joins that double the distance at each round bring every edge to the head of its path.
+4. A join takes the paths to their occurrences, which are verified by their coordinates: a path's edges stand in a document at the same distances as at its source.
+   Whole occurrences are one span, others fall back to their edges. Every occurrence of an edge but the first in the corpus is removed.
+
+Digests are BLAKE2b of the words themselves, 64 bits for a segment within its minimizer, 128 bits for a single edge: what is called equal is
+so but for a collision of these. Hashes of nodes decide only which edges may be linked, which the coordinates then confirm. Occurrences of hot
+segments and edges are met by joins that the engine may split.
+
+Defined results: null, empty and wordless texts have no words; whole texts of any length count; the order of occurrences is (doc_id, start). Rows that
+repeat a doc_id with another text are documents of their own, in the order of the texts' hashes; rows that repeat doc_id and text are one document and
+lose the same words. Rows without doc_id keep their words and make no other row lose any. An empty table gives an empty result. Other
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -28,11 +32,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gridloom.llm._shared import shared_folder, stored
+from gridloom.llm._shared import removed, shared_folder, stored
 from gridloom.llm._words import Words, chunks
 
 
@@ -93,72 +96,131 @@ def _segment_table(docs: DataFrame, config: SubstringConfig) -> DataFrame:
                 text, offset = _normal(words)
                 ends = offset[first + size + config.window - 1] - 1 if len(first) else first
                 digest = b"".join([_digest(text[i:j], 8) for i, j in zip(offset[first].tolist(), ends.tolist(), strict=True)])
-                doc = x.column(0).take(pa.array(row + a, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64) if len(h) else h, pa.int64()), pa.array(np.frombuffer(digest, np.int64)), doc, pa.array((first - words.first[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(inner.astype(bool))], ["h", "c", "doc", "start", "n", "inner"])
+                doc, r = (x.column(i).take(pa.array(row + a, pa.int64())) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64) if len(h) else h, pa.int64()), pa.array(np.frombuffer(digest, np.int64)), doc, r, pa.array((first - words.first[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(inner.astype(bool))], ["h", "c", "doc", "r", "start", "n", "inner"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(cut, "h bigint, c bigint, doc bigint, start int, n int, inner boolean")
+    return docs.select("doc", "text", "r").mapInArrow(cut, "h bigint, c bigint, doc bigint, r bigint, start int, n int, inner boolean")
 
 
 def _edge_table(firsts: DataFrame, docs: DataFrame, config: SubstringConfig) -> DataFrame:
-    """Single edges of segments given by source coordinates (doc, start, n): e, doc, start."""
-    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("at"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text"))
+    """Edges of first occurrences given by source coordinates (doc, r, start, n, times): as they are, or, unless they are long, cut into single ones.
+
+    e: digest of a single edge's words; doc, r, start, n, times; u and v: nodes in which the edge begins and ends.
+    """
+    wanted = firsts.groupBy("doc", "r").agg(F.collect_list(F.struct("start", "n", "times", "long")).alias("at"))  # a document's own places, fewer than its words
+    w = config.window
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for doc, at, text in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2), strict=True):
-                got = (text.as_py() or "").encode().split()
-                offset = np.concatenate([[0], np.cumsum([len(v) + 1 for v in got])]).tolist()
-                joined = b" ".join(got)
-                begin = [s for r in at for s in range(r["start"], r["start"] + r["n"]) if s + config.window <= len(got)]
-                e = [_digest(joined[offset[s] : offset[s + config.window] - 1], 16) for s in begin]
-                yield pa.RecordBatch.from_arrays([pa.array(e, pa.binary()), pa.array([doc] * len(e), pa.int64()), pa.array(begin, pa.int32())], ["e", "doc", "start"])
-
-    return wanted.join(texts, "doc").select("doc", "at", "text").mapInArrow(edges, "e binary, doc bigint, start int")
-
-
-def _later(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """First occurrence (first.doc, first.start) and number of each key; and how to join it back."""
-    first = rows.groupBy(*keys).agg(F.min(F.struct("doc", "start")).alias("first"), F.max("n").alias("n"), F.count("*").alias("times"))
-    repeated = first.where("times > 1").select(*keys, F.col("first.doc").alias("fd"), F.col("first.start").alias("fs"))
-    return first, repeated
+            for a, b in chunks(x.column(3)):
+                words = Words(x.column(3)[a:b])
+                at = np.arange(max(0, len(words.row) - w + 2))
+                node = words.spans.hash(at, at + w - 1).view(np.int64)
+                text, offset = _normal(words)
+                lists = x.column(2).slice(a, b - a)
+                row = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy())
+                start, n, times, long = (f.to_numpy(zero_copy_only=False).astype(np.int64) for f in lists.flatten().flatten())
+                size = np.where(long, 1, n)  # edges that an entry becomes
+                row, whole, step = np.repeat(row, size), np.repeat(long > 0, size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                start, n, times = np.repeat(start, size) + step, np.where(whole, np.repeat(n, size), 1), np.repeat(times, size)
+                at = words.first[row] + start
+                e = [None if whole_ else _digest(text[i:j], 16) for whole_, i, j in zip(whole.tolist(), offset[at].tolist(), (offset[at + w] - 1).tolist(), strict=True)]
+                doc, r = (x.column(i).take(pa.array(row + a, pa.int64())) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(e, pa.binary()), doc, r, *(pa.array(c.astype(np.int32)) for c in (start, n)), *(pa.array(c) for c in (times, node[at], node[at + n]))], ["e", "doc", "r", "start", "n", "times", "u", "v"])
+
+    met = wanted.join(docs, ["doc", "r"]).select("doc", "r", "at", "text")
+    return met.mapInArrow(edges, "e binary, doc bigint, r bigint, start int, n int, times bigint, u bigint, v bigint")
+
+
+_FIRST = ["fd", "fr", "fs"]
+
+
+def _first() -> Column:
+    """The first of a group of occurrences: document, row of a repeated doc_id, and start and windows in one number."""
+    return F.min(F.struct("doc", "r", (F.shiftleft(F.col("start").cast("bigint"), 32) + F.col("n")).alias("at"))).alias("first")
+
+
+def _named(rows: DataFrame, *others: str) -> DataFrame:
+    return rows.select(*others, F.col("first.doc").alias("fd"), F.col("first.r").alias("fr"), F.shiftright("first.at", 32).cast("int").alias("fs"), F.col("first.at").bitwiseAND((1 << 32) - 1).cast("int").alias("fn"))
+
+
+def _heads(graph: DataFrame, folder: str) -> DataFrame:
+    """Edges (fd, fr, fs) and the start of the path that they lie on (ps). graph: fd, fr, fs, fn, times, u, v of each repeated edge."""
+    ends = graph.select(F.col("v").alias("node"), F.lit(1).alias("into"), F.lit(0).alias("out")).union(graph.select("u", F.lit(0), F.lit(1)))
+    plain = ends.groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out")).where("into = 1 and out = 1").select("node")
+    before = graph.select(F.col("v").alias("node"), F.col("fd").alias("_d"), F.col("fr").alias("_r"), F.col("fs").alias("before"), (F.col("fs") + F.col("fn")).alias("end"), F.col("times").alias("_t"))
+    follows = (F.col("fd") == F.col("_d")) & (F.col("fr") == F.col("_r")) & (F.col("fs") == F.col("end")) & (F.col("times") == F.col("_t"))
+    linked = graph.withColumnRenamed("u", "node").join(plain, "node").join(before, "node").where(follows).select(*_FIRST, "before")
+    edges = graph.select(*_FIRST).join(linked, _FIRST, "left")
+    state = stored(edges.select(*_FIRST, F.coalesce("before", "fs").alias("ps"), F.col("before").isNull().alias("done")), f"{folder}/heads-0")
+    k = 0
+    while not state.where("not done").isEmpty():
+        # Those on their way ask distinct edges, as far off as all rounds before together; heads are asked by none of those that have found them.
+        asked = state.select("fd", "fr", F.col("fs").alias("ps"), F.col("ps").alias("_ps"), F.col("done").alias("_done"))
+        gone = state.where("not done").drop("done").join(asked, ["fd", "fr", "ps"]).select(*_FIRST, F.col("_ps").alias("ps"), F.col("_done").alias("done"))
+        after = stored(state.where("done").unionByName(gone), f"{folder}/heads-{k + 1}")
+        removed(graph.sparkSession, f"{folder}/heads-{k}")
+        state, k = after, k + 1
+    return state.drop("done")
+
+
+def _rows(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc, r, text and doc_id), and the documents (doc, r, text). r: a hash of the text where a doc_id is repeated, else 0."""
+    rows = docs.select("doc_id", F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text"))
+    repeated = stored(rows.where("doc is not null").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), f"{folder}/repeated")
+    if repeated.isEmpty():
+        rows = rows.withColumn("r", F.lit(0).cast("bigint"))
+        return rows, rows.where("doc is not null").drop("doc_id")
+    many = rows.join(repeated, "doc", "left_semi").withColumn("r", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = stored(rows.join(repeated, "doc", "left_anti").withColumn("r", F.lit(0).cast("bigint")).unionByName(many), f"{folder}/rows")
+    return rows, rows.where("doc is not null").select("doc", "r", "text").dropDuplicates(["doc", "r"])
+
+
+def _spans(docs: DataFrame, config: SubstringConfig, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Paths and spans of documents (doc, r, text)."""
+    spark = docs.sparkSession
+    all_ = stored(_segment_table(docs, config), f"{folder}/segments")
+    seen = all_.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("inner").alias("inner"), _first()).where("times > 1 or inner")
+    seen = stored(_named(seen.withColumn("branching", F.col("inner") | (F.col("lo") != F.col("hi"))), "h", "times", "branching"), f"{folder}/minimizers")
+    met = stored(all_.drop("inner").join(seen.drop("fn", "times"), "h"), f"{folder}/occurrences")
+    removed(spark, f"{folder}/segments")
+    # Branching minimizers: what repeats the first of its digest is a span, the firsts are cut into single edges.
+    branching = met.where("branching").select("h", "c", "doc", "r", "start", "n")
+    source = [F.col("fd").alias("doc"), F.col("fr").alias("r"), F.col("fs").alias("start"), F.col("fn").alias("n"), "times"]
+    firsts = stored(_named(branching.groupBy("h", "c").agg(F.count("*").alias("times"), _first()), "times").select(*source), f"{folder}/firsts")
+    copies = branching.select("doc", "r", "start", "n").join(firsts, ["doc", "r", "start"], "left_anti")
+    long = seen.where("not branching").select(*source)
+    edges = stored(_edge_table(firsts.withColumn("long", F.lit(False)).unionByName(long.withColumn("long", F.lit(True))), docs, config), f"{folder}/edges")
+    cut = edges.where("e is not null")
+    again = _named(cut.groupBy("e").agg(F.sum("times").alias("times"), _first()).where("times > 1"), "e", "times").drop("fn")
+    single = stored(cut.drop("times").join(again, "e").drop("e"), f"{folder}/single-edges")
+    # The graph of repeated edges, each by its first occurrence, and its paths.
+    at_source = (F.col("doc") == F.col("fd")) & (F.col("r") == F.col("fr")) & (F.col("start") == F.col("fs"))
+    whole_edges = edges.where("e is null").select(F.col("doc").alias("fd"), F.col("r").alias("fr"), F.col("start").alias("fs"), F.col("n").alias("fn"), "times", "u", "v")
+    graph = stored(whole_edges.unionByName(single.where(at_source).select(*_FIRST, F.col("n").alias("fn"), "times", "u", "v")), f"{folder}/graph")
+    removed(spark, f"{folder}/edges")
+    heads = _heads(graph, folder)
+    paths = graph.join(heads, _FIRST).groupBy(F.col("fd").alias("doc"), F.col("fr").alias("r"), F.col("ps").alias("start")).agg(F.sum("fn").alias("n_windows"), F.max("times").alias("times"))
+    # An occurrence of a path in a document: its edges stand at the same distances as at the source.
+    later = met.where("not branching").select("doc", "r", "start", "n", *_FIRST).unionByName(single.select("doc", "r", "start", "n", *_FIRST)).where(~at_source)
+    placed = later.join(heads, _FIRST).select("doc", "r", "start", "n", "fd", "fr", "ps", (F.col("start") - F.col("fs") + F.col("ps")).alias("at"))
+    which = ["doc", "r", "fd", "fr", "ps", "at"]
+    held = stored(placed.groupBy(*which).agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"), F.sum("n").alias("n")), f"{folder}/path-spans")
+    whole = held.where("n = stop - start").select("doc", "r", "start", F.col("n").cast("int"))
+    loose = placed.join(held.where("n <> stop - start").select(*which), which, "left_semi").select("doc", "r", "start", "n")
+    return paths, whole.unionByName(loose).unionByName(copies)
 
 
 def repeated_spans(docs: DataFrame, config: SubstringConfig = SubstringConfig(), folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Paths (doc, start, n_windows, times: a repeated nonbranching path by its first occurrence) and spans (doc, start, n: windows that occur earlier)."""
+    """Paths (doc, r, start, n_windows, times: a repeated nonbranching path by its first occurrence) and spans (doc, r, start, n: windows that occur earlier)."""
     folder = folder or shared_folder(docs.sparkSession, "substring")
-    all_ = stored(_segment_table(docs, config), f"{folder}/segments")
-    seen = all_.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("inner").alias("inner"), F.min(F.struct("doc", "start", "n")).alias("first"))
-    seen = stored(seen.where("times > 1 or inner").select("h", "times", (F.col("inner") | (F.col("lo") != F.col("hi"))).alias("branching"), F.col("first.doc").alias("fd"), F.col("first.start").alias("fs"), F.col("first.n").alias("fn")), f"{folder}/minimizers")
-    # Nonbranching segments that follow one another at their first occurrences, as often as each other, are one path.
-    along = Window.partitionBy("fd").orderBy("fs")
-    chained = seen.where("not branching").withColumn("fresh", F.coalesce((F.lag("fs").over(along) + F.lag("fn").over(along) != F.col("fs")) | (F.lag("times").over(along) != F.col("times")), F.lit(True)))
-    chained = chained.withColumn("ps", F.max(F.when(F.col("fresh"), F.col("fs"))).over(along))
-    plain = stored(chained.select("h", "times", "fd", "fs", "fn", "ps").unionByName(seen.where("branching").select("h", "times", F.lit(None).cast("bigint").alias("fd"), F.lit(None).cast("int").alias("fs"), "fn", F.lit(None).cast("int").alias("ps"))), f"{folder}/chained")
-    paths = plain.where("fd is not null").groupBy(F.col("fd").alias("doc"), F.col("ps").alias("start")).agg(F.sum("fn").alias("n_windows"), F.max("times").alias("times"))
-    met = stored(all_.drop("inner").join(plain.drop("fn", "times"), "h"), f"{folder}/occurrences")
-    # An occurrence of a path in a document: its segments stand at the same distances as in the source.
-    later = met.where("fd is not null and not (doc = fd and start = fs)")
-    whole = later.groupBy("doc", "fd", "ps", (F.col("start") - F.col("fs") + F.col("ps")).alias("at")).agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"), F.sum("n").alias("n"))
-    whole = stored(whole, f"{folder}/path-spans")
-    broken = whole.where("n <> stop - start").select("doc", "fd", "ps", "at")
-    loose = later.withColumn("at", F.col("start") - F.col("fs") + F.col("ps")).join(broken, ["doc", "fd", "ps", "at"], "left_semi").select("doc", "start", "n")
-    # Branching minimizers, edge by edge.
-    branching = met.where("fd is null").select("h", "c", "doc", "start", "n")
-    first, again = _later(branching, ["h", "c"])
-    copies = branching.join(again, ["h", "c"]).where("not (doc = fd and start = fs)").select("doc", "start", "n")
-    edges = stored(_edge_table(first.select(F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "n"), docs, config), f"{folder}/edges")
-    _, repeated = _later(edges.withColumn("n", F.lit(1)), ["e"])
-    single = edges.join(repeated, "e").where("not (doc = fd and start = fs)").select("doc", "start", F.lit(1).alias("n"))
-    spans = whole.where("n = stop - start").select("doc", "start", F.col("n").cast("int")).unionByName(loose).unionByName(copies).unionByName(single)
-    return paths, spans
-
-
-def without_repeats(docs: DataFrame, spans: DataFrame, config: SubstringConfig = SubstringConfig(), texts: bool = False) -> DataFrame:
+    return _spans(_rows(docs, folder)[1], config, folder)
+
+
+def _without(rows: DataFrame, spans: DataFrame, config: SubstringConfig, texts: bool) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) of each row, and with ``texts`` kept_text."""
-    at = spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_at"))
-    rows = docs.select(F.col("doc_id"), F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(at, F.col("_id") == F.col("_doc"), "left").select("_id", "_at", "text")
+    at = spans.groupBy(F.col("doc").alias("_doc"), F.col("r").alias("_r")).agg(F.collect_list(F.struct("start", "n")).alias("_at"))  # a document's own spans
+    joined = rows.join(at, (F.col("doc") == F.col("_doc")) & (F.col("r") == F.col("_r")), "left").select("doc", "_at", "text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -188,6 +250,11 @@ def without_repeats(docs: DataFrame, spans: DataFrame, config: SubstringConfig =
 
 
 def deduplicated(docs: DataFrame, config: SubstringConfig = SubstringConfig(), folder: str | None = None, texts: bool = False) -> DataFrame:
-    folder = folder or shared_folder(docs.sparkSession, "substring")
-    _, spans = repeated_spans(docs, config, folder)
-    return without_repeats(docs, stored(spans, f"{folder}/spans"), config, texts)
+    """What is left of each row: doc_id, n_words, n_removed, kept_sha256, and with ``texts`` kept_text."""
+    spark = docs.sparkSession
+    folder = folder or shared_folder(spark, "substring")
+    rows, documents = _rows(docs, folder)
+    _, spans = _spans(documents, config, f"{folder}/work")
+    spans = stored(spans, f"{folder}/spans")
+    removed(spark, f"{folder}/work")
+    return _without(rows, spans, config, texts)

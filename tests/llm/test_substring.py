@@ -50,7 +50,8 @@ def test_paths_are_repeated_spans_of_their_source(spark):
     a = [f"a{i}" for i in range(100)]
     rows = [(1, " ".join(["p"] * 3 + a + ["q"])), (2, " ".join(["r"] + a[10:80] + ["s"])), (3, " ".join(a)), (4, "none of it")]
     paths, spans = S.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert all(r.doc == 1 and r.times >= 2 and r.n_windows >= 1 for r in paths.collect())
+    # Windows of a that stand in documents 1 and 3, in all three, and in 1 and 3 again: the graph's three nonbranching paths.
+    assert sorted(map(tuple, paths.collect())) == [(1, 0, 3, 10, 2), (1, 0, 13, 51, 3), (1, 0, 64, 20, 2)]
     covered = {}
     for r in spans.collect():
         covered.setdefault(r.doc, set()).update(range(r.start, r.start + r.n + 19))
@@ -65,5 +66,7 @@ def test_awkward_rows(spark):
     assert (got[1].n_words, got[1].n_removed, got[1].kept_sha256) == (0, 0, hashlib.sha256(b"").hexdigest())
     assert got[4].n_removed == 0 and got[5].n_removed == 50_000 and got[5].kept_text == "x" and got[None].n_removed == 0
     assert S.deduplicated(docs.limit(0)).count() == 0
+    other = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(60))), (2, "pre " * 40 + " ".join(f"a{i}" for i in range(60))), (2, "short text"), (2, " ".join(f"a{i}" for i in range(10, 50)))], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in S.deduplicated(other).collect()) == [(1, 60, 0), (2, 2, 0), (2, 40, 40), (2, 100, 99)]
     twice = docs.where("doc_id = 4").union(docs.where("doc_id = 4"))
     assert [r.n_removed for r in S.deduplicated(twice).collect()] == [0, 0]
