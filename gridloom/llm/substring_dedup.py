@@ -193,6 +193,7 @@ def _spans(docs: DataFrame, config: SubstringConfig, folder: str) -> tuple[DataF
     edges = stored(_edge_table(firsts.withColumn("long", F.lit(False)).unionByName(long.withColumn("long", F.lit(True))), docs, config), f"{folder}/edges")
     cut = edges.where("e is not null")
     again = _named(cut.groupBy("e").agg(F.sum("times").alias("times"), _first()).where("times > 1"), "e", "times").drop("fn")
+    again = stored(again, f"{folder}/repeated-edges")  # a table of its own, so that the engine can split a hot edge in the join below
     single = stored(cut.drop("times").join(again, "e").drop("e"), f"{folder}/single-edges")
     # The graph of repeated edges, each by its first occurrence, and its paths.
     at_source = (F.col("doc") == F.col("fd")) & (F.col("r") == F.col("fr")) & (F.col("start") == F.col("fs"))
