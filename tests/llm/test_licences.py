@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 
@@ -41,3 +43,48 @@ def test_postfix_order():
     for bad in ("a b", "( a", "a )", "and a", "a or", "( )"):
         with pytest.raises(ValueError):
             L.postfix(bad.split())
+
+
+@pytest.mark.parametrize("identifier,label", [("MIT", "mit"), ("MITRE-thing", "other"), ("BSL-1.0", "bsl"), ("Zlib", "zlib"), ("Artistic-2.0", "artistic"), ("GPL-2.0-or-later", "gpl"), ("GPL-2.0+", "gpl"), ("gplx", "other"), ("CC-BY-NC-SA-4.0", "cc-by-nc"), ("CC-BY-4.0", "cc-by"), ("CC-BY-SA-3.0-DE", "cc-by-sa"), ("BSD-3-Clause-Clear", "bsd"), ("Apache-2.0", "apache-2"), ("LGPL-2.1-only", "lgpl"), ("LicenseRef-mit", "other")])
+def test_identifiers_count_as_a_whole(identifier, label):
+    assert L.identifier_label(identifier) == label and all(x in L.FREEDOM for x in L.IDENTIFIERS)
+
+
+def labels_by_hand(text):
+    """Labels and score without an automaton: every phrase at every word, every tag by a search of words."""
+    w, ends = [], []
+    for m in WORDS.finditer(low(text)):
+        w.append(m[0])
+        ends.append(m.end())
+    labels, freedom = set(), []
+    for phrase, label in [*L.BASE.items(), *L.NOTICES.items()]:
+        p = phrase.split()
+        for i in range(len(w)):
+            if w[i : i + len(p)] == p:
+                labels.add(label)
+                freedom.append(L.FREEDOM[label])
+    for i in range(len(w)):
+        if w[i : i + 3] == L.TAG.split():
+            try:
+                got = L.evaluate(L.expression_tokens(re.split(r"[\r\n]", text[ends[i + 2] :].lstrip().removeprefix(":").lstrip(" \t"))[0]))
+            except ValueError:
+                got = {"unparsed"}, 0.0
+            labels |= got[0]
+            freedom.append(got[1])
+    return ",".join(sorted(labels)), min(freedom, default=0.0)
+
+
+def test_labels_are_those_of_brute_force():
+    rng = random.Random(4)
+    pieces = [*L.BASE, *L.NOTICES, "SPDX-License-Identifier: MIT OR GPL-2.0", "spdx_license identifier (BSD-3-Clause AND CC0-1.0)\n", "SPDX License-Identifier: ) x", "\u00e9", "MIT", "license", "under", "the", "\n", "gnu lesser", "spdx license"]
+    scanner = L.Scanner()
+    for _ in range(400):
+        text = rng.choice([" ", "-", ". "]).join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        got = scanner.scan(text)
+        assert (",".join(sorted(got.labels)), min(got.freedom, default=0.0)) == labels_by_hand(text)
+
+
+def test_many_places_take_linear_time():
+    start = time.process_time()
+    assert L.Scanner().scan("cc by nc " * 200_000).n_base == 200_000
+    assert time.process_time() - start < 10
