@@ -2,15 +2,18 @@
 
 A record's exact header bytes (WARC and HTTP headers) are kept in one table; payload bytes are kept once per SHA-256 digest in another.
 A record is put together again by joining them on the digest: header, payload of a response, two line ends. Before a
-payload is stored for a digest, all payloads of that digest must agree in length and in a second, unrelated hash.
+payload is stored for a digest, all payloads of that digest must agree in length and in a second, unrelated hash (xxhash64); they aren't compared byte by byte.
 
 Of records with equal payloads of at least ``least_bytes`` bytes that with the smallest page_id is a response and the others are
 revisits of it; shorter ones are responses all. Everything is DataFrame functions; payloads are shuffled once to the store and once
 back from it, equal ones are combined before the shuffle, and the join back is one that the engine may split.
 
-Defined results: a null html is an empty payload; rows that repeat a page_id and its payload are written each, with the same type;
-records without page_id are written, are never referred to and come back without it; line ends in a url are percent-encoded; other
-columns are not archived.
+A record's id is made of its page_id and the payload's digest; a record without page_id has a random one.
+
+Defined results: a null html is an empty payload; payloads of any length are stored whole; rows that repeat a page_id with another payload are records
+of their own; rows that repeat a page_id and its payload are written each, with the same type and the same record id, as they are one record twice;
+records without page_id are written, are never referred to and come back without it; line ends in a url are percent-encoded; an empty table gives
+an empty archive; other columns, whatever their names, are not archived.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from gridloom.llm._shared import stored
 END = "\r\n"
 
 
-def _record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:gridloom:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+def _record_id(page_id: Column, digest: Column) -> Column:
+    return F.concat(F.lit("<urn:gridloom:page:"), page_id.cast("string"), F.lit(":"), F.substring(digest, 1, 32), F.lit(">"))
 
 
 def write_archive(pages: DataFrame, folder: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -47,11 +50,11 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 100, date: s
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"))),
+        F.concat(F.lit("WARC-Record-ID: "), F.coalesce(_record_id(F.col("page_id"), F.col("digest")), F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")))),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), url),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("first")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("first"), F.col("digest")))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), length.cast("string")),
@@ -81,12 +84,12 @@ def parsed(records: DataFrame) -> DataFrame:
     own = F.substring("record", F.octet_length("header") + 1, F.octet_length("record") - F.octet_length("header") - 4)
     payload = F.when(kind == "revisit", F.col("payload")).otherwise(own)
     out = records.select(
-        F.expr("try_cast(nullif(regexp_extract(decode(header, 'UTF-8'), '\\\\r\\\\nWARC-Record-ID: <urn:gridloom:page:([-0-9]*)>', 1), '') as bigint)").alias("page_id"),
+        F.expr("try_cast(nullif(regexp_extract(decode(header, 'UTF-8'), '\\\\r\\\\nWARC-Record-ID: <urn:gridloom:page:([-0-9]*):', 1), '') as bigint)").alias("page_id"),
         F.regexp_extract(head, r"\r\nWARC-Target-URI: ([^\r\n]*)", 1).alias("url"),
         F.octet_length(payload).cast("bigint").alias("payload_bytes"),
         F.sha2(payload, 256).alias("payload_digest"),
         kind.alias("record_type"),
-        F.expr("try_cast(nullif(regexp_extract(decode(header, 'UTF-8'), '\\\\r\\\\nWARC-Refers-To: <urn:gridloom:page:([-0-9]*)>', 1), '') as bigint)").alias("refers_to"),
+        F.expr("try_cast(nullif(regexp_extract(decode(header, 'UTF-8'), '\\\\r\\\\nWARC-Refers-To: <urn:gridloom:page:([-0-9]*):', 1), '') as bigint)").alias("refers_to"),
         F.regexp_extract(head, r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})", 1).alias("_stated"),
     )
     true = F.when(F.col("payload_digest") == F.col("_stated"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload does not have its digest")).cast("string"))

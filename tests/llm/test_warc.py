@@ -26,7 +26,7 @@ def test_round_trip(spark, tmp_path):
         by_id.setdefault(i, []).append((len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", first[h] if revisit else None))
     for r in got:
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == by_id[r.page_id][0]
-    one = records.where(F.decode("header", "UTF-8").contains("page:2>")).first()
+    one = records.where(F.decode("header", "UTF-8").contains("page:2:")).first()
     assert bytes(one.record).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and bytes(one.record).endswith(b"\r\n\r\nshort\r\n\r\n")
     length = int(bytes(one.record).split(b"Content-Length: ")[1].split(b"\r\n")[0])
     assert len(bytes(one.record)) == bytes(one.record).index(b"\r\n\r\n") + 4 + length + 4
