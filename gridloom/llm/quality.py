@@ -9,7 +9,8 @@ needs one number a feature; a document costs one gather.
 
 Defined results: null or empty texts, and texts of white space only, have no features and get the score of the bias
 alone, the same for all of them; repeated rows get the same score each; without labelled rows every score is 0.5;
-labels other than 0 and 1, and null ones, aren't learned from; columns of the input stay as they are, and a clashing
+labels other than 0 and 1, and null ones, aren't learned from, and of an id that has several the larger one counts; of a doc_id that is repeated one text is
+learned from, that with the smallest hash; a score of exactly 0.5 is a prediction of 1; texts of any length are scored whole; an empty table gives none; columns of the input stay as they are, and a clashing
 column name of it is kept while the new column takes the name asked for with underscores added.
 """
 
@@ -140,10 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", config: Qual
     """Learns from labelled rows that aren't held out. docs: doc_id, text; labels: doc_id and the label, 0 or 1."""
     spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_id").isNotNull() & ~held_out(F.col("_id").cast("string").cast("binary")))
+    usable = usable.groupBy("_id").agg(F.max("_label").alias("_label"))
     order = [F.xxhash64("_id"), "_id"]
     chosen = [usable.where(F.col("_label") == y).orderBy(*order).limit(config.per_class) for y in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_class rows of two numbers
     sample = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text")).join(few, "_id")
+    # One text of each id, however often it is repeated; combined before the shuffle.
+    sample = sample.groupBy("_id").agg(F.max("_label").alias("_label"), F.min_by("_text", F.xxhash64("_text")).alias("_text")).select("_id", "_text", "_label")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
