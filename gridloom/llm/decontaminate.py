@@ -12,7 +12,7 @@ radius, and 0.4 % of unrelated fingerprints are candidates. Candidates are compa
 counts, at least ``threshold``. A pair at 0.8 lies beyond the radius with a probability of at most 6e-6 (sets of 14 or 23 shingles; less
 for others); for a document of fewer words than an item of under eight shingles, where it would be more, items come from the shingles it holds.
 
-Windows in which too few shingles occur in any item to reach the threshold are left out first; that is exact.
+Windows in which too few shingles occur in items of their length to reach the threshold are left out first; that is exact.
 
 Items are read in blocks of bounded size, with a broadcast and a pass over the documents for each, so neither what is broadcast nor a plan grows with the
 benchmark.
@@ -177,7 +177,11 @@ class ItemIndex:
         for i in np.flatnonzero(np.diff(cut) < 8).tolist():
             for x in self.sets[i]:
                 self.holders.setdefault(x, set()).add(i)
-        self.known = np.unique(h)
+        self.known, place = np.unique(h, return_inverse=True)
+        # The lengths of the items that hold each known shingle.
+        pair = np.unique(place * (len(self.lengths) + 1) + np.searchsorted(self.lengths, words.counts[row]))
+        self.head = np.searchsorted(pair // (len(self.lengths) + 1), np.arange(len(self.known) + 1))
+        self.held_by = pair % (len(self.lengths) + 1)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
@@ -197,21 +201,28 @@ class ItemIndex:
             row, at, h = words.shingles(k)
             cut = np.searchsorted(row, np.arange(words.rows + 1))
             hit = self.hits(h) if len(self.known) else np.zeros(len(h), bool)
-            total = np.concatenate([[0], np.cumsum(hit)])
-            rows = np.flatnonzero(total[cut[1:]] > total[cut[:-1]])
             for length in self.lengths:
                 if length < k:
                     self._short(words, length, found)
-                    continue
-                for i in rows:
+            # Places of shingles by the lengths of the items that hold them: a window must have enough of its own length.
+            place = np.flatnonzero(hit)
+            at_known = np.searchsorted(self.known, h[place])
+            size = self.head[at_known + 1] - self.head[at_known]
+            of = self.held_by[np.repeat(self.head[at_known] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            place = np.repeat(place, size)
+            for x in np.unique(of).tolist():
+                length, here = self.lengths[x], place[of == x]
+                for i in np.unique(row[here]).tolist() if length >= k else []:
                     n = min(length, int(words.counts[i])) - k + 1
                     if n < 1 or n < t * (length - k + 1):
                         continue
-                    starts = np.arange(cut[i], cut[i + 1] - n + 1)
+                    a, b = np.searchsorted(here, [cut[i], cut[i + 1]])
+                    own = here[a:b]
+                    starts = np.arange(max(int(cut[i]), int(own[0]) - n + 1), min(int(cut[i + 1]) - n, int(own[-1])) + 1)
                     least = t / (1 + t) * (n + length - k + 1)
-                    starts = starts[total[starts + n] - total[starts] >= least - 1e-9]
+                    starts = starts[np.searchsorted(own, starts + n) - np.searchsorted(own, starts) >= least - 1e-9]
                     if len(starts):
-                        self._compare(h, starts, n, length, found.setdefault(int(i), {}), int(cut[i]))
+                        self._compare(h, starts, n, length, found.setdefault(i, {}), int(cut[i]))
             for i in range(words.rows):
                 yield sorted(found[i].values()) if i in found else []
 
