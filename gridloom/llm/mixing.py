@@ -9,6 +9,8 @@
    hundredth, and every step is an aggregation of that table, whose size the number of domains bounds.
 3. A rate becomes copies: its whole part, and one more with the probability of the rest, decided by a hash of doc_id.
 
+A domain without a target keeps what it has: it is told from the others, but no rate is changed for its sake, and targets are shares of the others' tokens.
+
 The budget is chosen so that documents of the ``anchor`` domain are met with a rate just above one, and with ``keep_anchor`` steps are
 projected to rates of at least one where that domain is the likeliest (of at least zero elsewhere): what should stay whole stays whole,
 and the other domains are thinned or repeated against it, as often as their targets ask: rates have no upper bound. Fitting ends when the
@@ -148,16 +150,16 @@ def fit_rates(cells: DataFrame, config: MixConfig) -> Column:
     d = len(names)
     own = [x or 0.0 for x in cells.agg(*[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(d)]).first()]
     anchor = names.index(config.anchor)
-    if not own[anchor] or not config.targets[config.anchor]:
+    if not own[anchor] or not config.targets.get(config.anchor):
         budget = sum(own)
     else:
         budget = config.margin * own[anchor] / config.targets[config.anchor]
-    at = [i for i in range(d) if own[i] > 0]
+    at = [i for i in range(d) if own[i] > 0 and names[i] in config.targets]
     if not at:
         return F.lit(1.0)
     kept = F.col("p")[anchor] >= F.array_max("p") if config.keep_anchor else F.lit(False)
     least = F.when(kept, 1.0).otherwise(0.0)
-    goal, has = np.array([config.targets.get(names[i], 0.0) * budget for i in at]), np.array([own[i] for i in at])
+    goal, has = np.array([config.targets[names[i]] * budget for i in at]), np.array([own[i] for i in at])
     allowed = config.tolerance * np.where(goal > 0, goal, has)
 
     def free(m: np.ndarray) -> Column:

@@ -47,6 +47,18 @@ def test_expected_totals_match_the_targets(spark):
     assert (np.abs(g[got.rate > 1e-6]) < 5e-3).all()
 
 
+def test_a_domain_without_target_keeps_its_rates(spark):
+    rows = corpus()
+    docs, labels = tables(spark, rows)
+    got = M.with_rates(docs, labels, M.MixConfig(targets={"clean": 0.98, "toxic": 0.02}, margin=1.0)).toPandas()
+    kind = dict((i, k) for i, _, k in rows)
+    p = np.stack(got.p.to_numpy())
+    junk = got[[kind[i] == "junk" for i in got.doc_id]]
+    assert np.abs(junk.rate - 1).max() < 0.1
+    held = (got.rate.to_numpy() * got.tokens.to_numpy()) @ p
+    assert abs(held[2] / (held[0] + held[2]) - 0.02) < 0.002
+
+
 def test_anchor_documents_stay(spark):
     rows = corpus()
     docs, labels = tables(spark, rows)
