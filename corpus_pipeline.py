@@ -20,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: All domains are told apart. Junk has no target: the quality stage has removed it, and a share of what is left could only be met by repeating the few,
+#: mostly tiny documents of it that came through (with a target of 4 % they became 100 times as many rows as there were documents).
+MIX = mixing.MixConfig(targets={"clean": 0.98, "toxic": 0.02}, margin=1.0)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good; it learns from the labelled rows among them."""
     return quality.accepted(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -36,8 +41,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say: clean ones whole, those of the other domains thinned or repeated to their targets."""
-    return mixing.mixed(docs, _table(spark, sf_dir, "labels"))
+    """Documents as often as their rates say: clean ones whole, toxic ones thinned or repeated to their target, junk as it is."""
+    return mixing.mixed(docs, _table(spark, sf_dir, "labels"), MIX)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
