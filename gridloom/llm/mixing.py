@@ -3,10 +3,10 @@
 1. A classifier learned from the labelled table gives every document posteriors over domains: naive Bayes over shape marks (shares of
    symbols and capitals, variety of words, in coarse steps) and over how many telling words of each domain a text has. Telling words are those
    that a bounded labelled sample shows to be several times as frequent in a domain as outside it.
-2. Nonnegative document rates are fitted so that the expected tokens of each domain, the sum of rate * tokens * posterior, come to the target
-   shares of a budget: least squares over the domains, each relative to what it has, and of all such rates those nearest to one. They have the form
-   max(floor, 1 + posteriors * multipliers), with a multiplier for each domain, which Newton steps find. Documents are summed by posteriors in steps of a
-   hundredth, and every step is an aggregation of that table, whose size the number of domains bounds.
+2. Nonnegative document rates are fitted by projected gradient steps so that the expected tokens of each domain, the sum of
+   rate * tokens * posterior, come to the target shares of a budget: least squares over the domains, from rates of one. A rate depends on
+   a document through its posteriors alone, so documents are summed by posteriors in steps of a hundredth, and every step is an aggregation of that table,
+   whose size the number of domains bounds.
 3. A rate becomes copies: its whole part, and one more with the probability of the rest, decided by a hash of doc_id.
 
 A domain without a target keeps what it has: it is told from the others, but no rate is changed for its sake, and targets are shares of the others' tokens.
@@ -50,9 +50,9 @@ class MixConfig:
     least_g: float = 25.0
     lift: float = 3.0
     keep_anchor: bool = True
-    steps: int = 200
-    tolerance: float = 1e-6
-    slack: float = 1e-6
+    steps: int = 1000
+    replayed: int = 12
+    tolerance: float = 1e-5
 
 
 def word_array(text: str = "text") -> Column:
@@ -143,12 +143,17 @@ def fit_domains(docs: DataFrame, labels: DataFrame, config: MixConfig = MixConfi
 def fit_rates(cells: DataFrame, config: MixConfig) -> Column:
     """A column that turns posteriors (p) into rates. cells: p and tokens, one row for each value of p.
 
-    Minimizes the sum over domains of (tokens - goal)^2 / own, plus ``slack`` times the squared distance of rates from one, for rates of at least their
-    floor. The multipliers m are the minimum of the dual, a convex function with a continuous gradient: Newton steps, halved where it does not fall.
+    Projected gradient steps from rates of one. The loss is the squared distance of the expected tokens from their goals, measured by the inverse of the
+    domains' token-weighted second moments, so that rare domains and ones that share documents need no more steps than others. Against it a step of one is
+    never too long; longer ones come from the curvature along the last step (Barzilai and Borwein), unless the loss has risen above its last five values.
+    A step is an aggregation of the cells; the driver holds its gradient, a number for each domain, and a row's rate is found by going through the steps again
+    (cells are stored with theirs after every ``replayed`` steps).
     """
     names = list(config.domains)
     d = len(names)
-    own = [x or 0.0 for x in cells.agg(*[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(d)]).first()]
+    t, p = F.col("tokens"), F.col("p")
+    totals = cells.agg(*[F.sum(t * p[i]) for i in range(d)], *[F.sum(t * p[i] * p[j]) for i in range(d) for j in range(d)]).first()
+    own = [float(x or 0.0) for x in totals[:d]]
     anchor = names.index(config.anchor)
     if not own[anchor] or not config.targets.get(config.anchor):
         budget = sum(own)
@@ -157,49 +162,51 @@ def fit_rates(cells: DataFrame, config: MixConfig) -> Column:
     at = [i for i in range(d) if own[i] > 0 and names[i] in config.targets]
     if not at:
         return F.lit(1.0)
-    kept = F.col("p")[anchor] >= F.array_max("p") if config.keep_anchor else F.lit(False)
+    kept = p[anchor] >= F.array_max("p") if config.keep_anchor else F.lit(False)
     least = F.when(kept, 1.0).otherwise(0.0)
     goal, has = np.array([config.targets[names[i]] * budget for i in at]), np.array([own[i] for i in at])
+    moments = np.array([float(x or 0.0) for x in totals[d:]]).reshape(d, d)[np.ix_(at, at)]
+    scale = 1 / np.sqrt(has)
+    inverse = np.linalg.pinv(moments * np.outer(scale, scale), rcond=1e-9, hermitian=True) * np.outer(scale, scale)
     allowed = config.tolerance * np.where(goal > 0, goal, has)
-
-    def free(m: np.ndarray) -> Column:
-        return reduce(lambda a, b: a + b, [F.col("p")[i] * float(x) for i, x in zip(at, m, strict=True)], F.lit(1.0))
-
-    def measured(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """The dual, its gradient, its second derivatives, and the expected tokens."""
-        w, t = F.greatest(least, free(m)), F.col("tokens")
-        # The part of the dual that a document adds: quadratic above its floor, linear below.
-        part = F.when(free(m) > least, w * w / 2).otherwise(least * free(m) - least * least / 2)
-        pairs = [(i, j) for i in at for j in at if i <= j]
-        moving = F.when(free(m) > least, t).otherwise(0.0)
-        got = [float(x or 0.0) for x in cells.agg(F.sum(t * part), *[F.sum(t * w * F.col("p")[i]) for i in at], *[F.sum(moving * F.col("p")[i] * F.col("p")[j]) for i, j in pairs]).first()]
-        now, second = np.array(got[1 : 1 + len(at)]), np.diag(config.slack * has)
-        for (i, j), x in zip(pairs, got[1 + len(at) :], strict=True):
-            second[at.index(i), at.index(j)] += x
-            if i != j:
-                second[at.index(j), at.index(i)] += x
-        return got[0] + config.slack * float(has @ m**2) / 2 - float(goal @ m), now + config.slack * has * m - goal, second, now
-
-    m = np.zeros(len(at))
-    value, gradient, second, now = measured(m)
-    left = config.steps
-    while (np.abs(gradient) > allowed).any():
-        scale = 1 / np.sqrt(has)
-        move = -scale * np.linalg.solve(second * np.outer(scale, scale), scale * gradient)
-        share = 1.0
-        while True:
-            if left == 0:
-                raise RuntimeError(f"rates have not converged in {config.steps} steps; still off their goals by {dict(zip([names[i] for i in at], (gradient / has).tolist(), strict=True))} of what the domains have")
-            left -= 1
-            tried = measured(m + share * move)
-            if tried[0] <= value + 1e-4 * share * float(gradient @ move) or (np.abs(tried[1]) <= allowed).all() or np.abs(scale * tried[1]).max() < 0.5 * np.abs(scale * gradient).max():
-                break
-            share /= 2
-        m, (value, gradient, second, now) = m + share * move, tried
+    taken: list[np.ndarray] = []
+
+    def down(rate: Column, step: list[Column]) -> Column:
+        return F.greatest(least, rate - reduce(lambda a, b: a + b, [p[i] * g for i, g in zip(at, step, strict=True)]))
+
+    def after(rate: Column, steps: list[np.ndarray]) -> Column:
+        if not steps:
+            return rate
+        return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps]), rate, lambda r, g: down(r, [g[n] for n in range(len(at))]))
+
+    seen, first = cells.select("tokens", "p", F.lit(1.0).alias("start")), 0
+    past: list[float] = []
+    before: np.ndarray | None = None
+    while True:
+        last = seen.select("tokens", "p", "start", after(F.col("start"), taken[first:-1]).alias("last"))
+        at_hand = last.withColumn("rate", after(F.col("last"), taken[-1:]) if len(taken) > first else F.col("last"))
+        got = [float(x or 0.0) for x in at_hand.agg(F.sum(t * F.pow(F.col("rate") - F.col("last"), F.lit(2.0))), *[F.sum(t * F.col("rate") * p[i]) for i in at]).first()]
+        now = np.array(got[1:])
+        gradient = inverse @ (now - goal)
+        move = F.abs(down(F.col("rate"), [F.lit(float(g)) for g in gradient]) - F.col("rate")) / F.greatest(F.col("rate"), F.lit(1.0))
+        if (np.abs(now - goal) <= allowed).all() or (at_hand.agg(F.max(move)).first()[0] or 0.0) <= config.tolerance:
+            break
+        if len(taken) >= config.steps:
+            raise RuntimeError(f"rates have not converged in {config.steps} steps; still off their goals by {dict(zip([names[i] for i in at], ((now - goal) / has).tolist(), strict=True))} of what the domains have")
+        loss, length = float((now - goal) @ gradient), 1.0
+        if before is not None and loss <= max(past[-5:]):
+            curved = float((now - before) @ inverse @ (now - before))
+            length = min(1e4, max(1.0, got[0] / curved)) if curved > 0 and got[0] > 0 else 1.0
+        past.append(loss)
+        before = now
+        if len(taken) - first >= config.replayed:
+            folder = shared_folder(cells.sparkSession, "rates")
+            seen, first = stored(at_hand.select("tokens", "p", F.col("rate").alias("start")).coalesce(1), folder), len(taken)
+        taken.append(length * gradient)
     missed = {names[i]: f"{n:.0f} of {g:.0f}" for i, n, g, h in zip(at, now, goal, has, strict=True) if abs(n - g) > 1e-3 * (g or h)}
     if missed:
         warnings.warn(f"expected tokens of domains that no rates bring to their targets: {missed}", stacklevel=2)
-    return F.greatest(least, free(m))
+    return after(F.lit(1.0), taken)
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, config: MixConfig = MixConfig(), folder: str | None = None) -> DataFrame:

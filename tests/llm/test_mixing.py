@@ -99,6 +99,25 @@ def test_a_rare_domain_meets_its_target(spark):
     assert max(r.rate for r in got) > 40 and all(r.rate >= 1 for r in got if r.p[0] >= 0.9)
 
 
+@pytest.mark.parametrize("spread", [(0.1, 0.03, 0.02), (1.0, 0.3, 0.1)])
+def test_totals_of_plain_projected_gradient(spark, spread):
+    """The same expected tokens as thousands of plain steps over documents with unrounded posteriors, but for what rounding them changes."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(spread, 300)
+    t = rng.integers(1, 2000, 300).astype(float)
+    config = M.MixConfig()
+    goal = np.array([0.92, 0.04, 0.04]) * config.margin * (t @ p)[0] / 0.92
+    least = (p[:, 0] >= p.max(1)).astype(float)
+    inverse = np.linalg.inv((p * t[:, None]).T @ p)
+    r = np.ones(300)
+    for _ in range(20_000):
+        r = np.maximum(least, r - p @ (inverse @ ((r * t) @ p - goal)))
+    cells = spark.createDataFrame([(list(map(float, np.round(x, 2))), float(n)) for x, n in zip(p, t, strict=True)], "p array<double>, tokens double").coalesce(1)
+    got = cells.withColumn("rate", M.fit_rates(cells, config)).collect()
+    held = sum(x.rate * x.tokens * np.array(x.p) for x in got)
+    assert np.abs(held - (r * t) @ p).max() < 0.005 * t.sum() and all(x.rate >= 0 for x in got)
+
+
 def test_rates_that_do_not_converge_are_an_error_and_missed_targets_a_warning(spark):
     cells = spark.createDataFrame([([0.7, 0.2, 0.1], 1000.0), ([0.1, 0.8, 0.1], 10.0), ([0.3, 0.1, 0.6], 5.0)], "p array<double>, tokens double")
     with pytest.raises(RuntimeError, match="converged"):
