@@ -1,7 +1,7 @@
 """Factor analysis of mixed data, parallel analysis and the index made from the components.
 
-The Gram matrix of the coded columns is one distributed aggregation of p * (p + 1) / 2 sums; what reaches the driver is that matrix, whose
-size the number of columns bounds. Scores are a projection expression.
+The Gram matrix of the coded columns is summed batch by batch in each task and then over the tasks; what reaches the driver is a few matrices, whose
+size the number of coded columns bounds. All levels are coded; more columns than a matrix can hold are an error. Scores are a projection expression.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.numbers import asset_score, weighted_components
 from gridloom.operators.stats import correlations, fence_clipped
+from gridloom.operators.survey import value_counts
 
 
 @dataclass(frozen=True)
@@ -50,23 +51,43 @@ class Factors:
         return squared / squared.sum(0, keepdims=True)
 
 
-def fit(df: DataFrame, numeric: list[str], categorical: list[str], most_levels: int = 200) -> Factors:
-    moments = df.agg(*[x for n in numeric for x in (F.avg(F.col(n).cast("double")), F.stddev_pop(F.col(n).cast("double")))]).first() if numeric else []
-    numbers = tuple((n, moments[2 * i] or 0.0, moments[2 * i + 1] or 0.0) for i, n in enumerate(numeric))
-    levels: list[tuple[str, str, float]] = []
-    for c in categorical:
-        counts = df.groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n")).where("v is not null").orderBy(F.desc("n"), "v").limit(most_levels).collect()
-        total = df.count() if not counts else None
-        total = total or df.agg(F.count("*")).first()[0]
-        levels += sorted((c, r["v"], r["n"] / total) for r in counts)
+def gram(z: DataFrame, p: int, parts: int = 16) -> tuple[int, np.ndarray]:
+    """Rows, and the sum of the outer products of z, an array of p numbers: one matrix a task, then one for each of a few parts."""
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = 0, np.zeros((p, p))
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["z"].to_numpy())
+                n, total = n + len(x), total + x.T @ x
+        if n:
+            yield pd.DataFrame({"n": [n], "g": [total.ravel()]})
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = 0, np.zeros(p * p)
+        for pdf in batches:
+            for k, g in zip(pdf["n"], pdf["g"], strict=True):
+                n, total = n + k, total + g
+        if n:
+            yield pd.DataFrame({"n": [n], "g": [total]})
+
+    schema = "n bigint, g array<double>"
+    found = z.select("z").mapInPandas(products, schema).repartition(parts).mapInPandas(sums, schema).collect()
+    return sum(r["n"] for r in found), sum((np.array(r["g"]) for r in found), np.zeros(p * p)).reshape(p, p)
+
+
+def fit(df: DataFrame, numeric: list[str], categorical: list[str], most_columns: int = 20_000) -> Factors:
+    moments = df.agg(F.count("*"), *[x for n in numeric for x in (F.avg(F.col(n).cast("double")), F.stddev_pop(F.col(n).cast("double")))]).first()
+    total = moments[0]
+    numbers = tuple((n, moments[2 * i + 1] or 0.0, moments[2 * i + 2] or 0.0) for i, n in enumerate(numeric))
+    counts = value_counts(df, categorical).where("value is not null").limit(most_columns + 1).collect() if categorical else []
+    if len(numeric) + len(counts) > most_columns:
+        raise ValueError(f"more than {most_columns} columns and levels; the matrix of their products would not fit")
+    place = {c: i for i, c in enumerate(categorical)}
+    levels = sorted(((r["column"], r["value"], r["n"] / total) for r in counts), key=lambda x: (place[x[0]], x[1]))
     bare = Factors(numbers, tuple(levels), np.zeros(0), np.zeros((0, 0)))
-    p = len(bare.names)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = df.select(bare.coded().alias("z")).agg(F.count("*"), *[F.sum(F.col("z")[i] * F.col("z")[j]) for i, j in pairs]).first()
-    gram = np.zeros((p, p))
-    for (i, j), s in zip(pairs, sums[1:], strict=True):
-        gram[i, j] = gram[j, i] = s or 0.0
-    values, axes = np.linalg.eigh(gram / max(1, sums[0]))
+    n, products = gram(df.select(bare.coded().alias("z")), len(bare.names))
+    values, axes = np.linalg.eigh(products / max(1, n))
     order = np.argsort(-values)
     return Factors(numbers, tuple(levels), np.maximum(values[order], 0), axes[:, order])
 

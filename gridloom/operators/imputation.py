@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import numbers
-from gridloom.operators.survey import filled
+from gridloom.operators.survey import filled, mode_of
 
 
 def hidden_rows(df: DataFrame, column: str, row_id: str = "row_id", share: float = 0.1, order: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -329,7 +329,7 @@ def imputed(df: DataFrame, column: str, numeric: list[str], categorical: list[st
     blocks = lambda n: F.ceil(n / part).cast("int")
     sizes = base.groupBy("_by").agg(blocks(F.count("_y")).alias("_known"), blocks(F.count("*") - F.count("_y")).alias("_wanted"))
     rows = base.join(F.broadcast(sizes), "_by").join(x, row_id)
-    default = df.agg((F.avg(column) if kind == "numeric" else F.mode(F.col(column).cast("string"), deterministic=True)).alias("d")).first()[0]
+    default = (df.agg(F.avg(column)) if kind == "numeric" else mode_of(df, F.col(column).cast("string"), "d")).first()[0]
     alone = rows.where("_known = 0 and _y is null").select(row_id, F.lit(default).cast(out).alias("value"))
     rows = rows.where("_known > 0 and _wanted > 0")
     at = lambda n: F.pmod(F.xxhash64(row_id), F.col(n)).cast("int")

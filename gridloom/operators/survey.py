@@ -6,6 +6,8 @@ profile of any number of columns is one pass over the data.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,18 +81,28 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(column, "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
+def mode_of(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """One row: the most frequent value, the smallest of ties; null without values. Counts are combined before the shuffle, and no task holds all values."""
+    counts = df.select(value.alias("_v")).where("_v is not null").groupBy("_v").agg(F.count("*").alias("_n"))
+    return counts.agg(F.min_by("_v", F.struct(-F.col("_n"), F.col("_v"))).alias(name))
+
+
 def smallest_mode(df: DataFrame, columns: list[str]) -> DataFrame:
     """The most frequent value of each column, the smallest of ties; null for a column without values."""
-    return df.agg(*[F.mode(F.col(c), deterministic=True).alias(c) for c in columns])
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [mode_of(df, F.col(c), c) for c in columns])
 
 
 def fill_values(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """Means and modes to fill nulls with, in one pass."""
-    return df.agg(*[F.avg(c).alias(c) for c in numeric], *[F.coalesce(F.mode(F.col(c), deterministic=True), F.lit("missing")).alias(c) for c in categorical])
+    """Means and modes to fill nulls with, a row of them: one pass for the means, one for each mode."""
+    means = [df.agg(*[F.avg(c).alias(c) for c in numeric])] if numeric else []
+    modes = [smallest_mode(df, categorical).select(*[F.coalesce(c, F.lit("missing")).alias(c) for c in categorical])] if categorical else []
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), means + modes)
 
 
 def filled(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """Nulls replaced by means and modes; the one row of fill values is broadcast."""
+    if not numeric and not categorical:
+        return df
     values = fill_values(df, numeric, categorical).select(*[F.col(c).alias(f"_fill_{c}") for c in numeric + categorical])
     both = df.crossJoin(F.broadcast(values))
     return both.select(*[F.coalesce(c, f"_fill_{c}").alias(c) if c in numeric + categorical else F.col(c) for c in df.columns])

@@ -143,9 +143,9 @@ def s26(spark, d):
 def s7(spark, d):
     path = shared_path(spark, "geojson")
     ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (1, 0), (1, 1))])
-    f = table(spark, d, "supplier").select(tables.geojson_text(ring, F.col("s_suppkey").alias("id")).alias("f"))
-    f.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list("f")), F.lit("]}")).alias("value")).write.text(path)
-    return tables.geojson(spark, path, "id:bigint").select("id")
+    f = table(spark, d, "supplier").select("s_suppkey", tables.geojson_text(ring, F.col("s_suppkey").alias("id")).alias("f"))
+    tables.write_collections(f, "f", F.col("s_suppkey"), path)
+    return tables.geojson(spark, path, "id:bigint", lines=True).select("id")
 
 
 def _stream(spark, d):
@@ -155,12 +155,12 @@ def _stream(spark, d):
 
 @query("t1_failure_stream", "select event_type, count(*) as n from events group by 1")
 def t1(spark, d):
-    return monitor.to_memory(monitor.failure_counts(_stream(spark, d), "event_type"), f"t1_{uuid.uuid4().hex[:8]}")
+    return monitor.drained(monitor.failure_counts(_stream(spark, d), "event_type"), f"t1_{uuid.uuid4().hex[:8]}")
 
 
 @query("t2_sliding_windows", """select start, start + interval 75 second as "end", count(*) as n, count(*) * 60.0 / 75 as per_minute from (select unnest(list_transform(range(5), lambda k: to_timestamp(floor(epoch(ts) / 15) * 15 - k * 15)::timestamp)) as start from (select ts at time zone 'UTC' as ts0, ts from events)) group by 1""")
 def t2(spark, d):
-    return monitor.to_memory(monitor.request_windows(_stream(spark, d)), f"t2_{uuid.uuid4().hex[:8]}")
+    return monitor.drained(monitor.request_windows(_stream(spark, d)), f"t2_{uuid.uuid4().hex[:8]}")
 
 
 _SESSIONS = """with g as (select user_id, ts, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 6 hour then 1 else 0 end as f from events window w as (partition by user_id order by ts)), s as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) as s from g)
@@ -174,23 +174,23 @@ def t3(spark, d):
 
 @query("t3_activity_session_stream", _SESSIONS)
 def t3_stream(spark, d):
-    return monitor.to_memory(monitor.activity_sessions(_stream(spark, d), "user_id", gap="6 hours", late="60 days"), f"t3_{uuid.uuid4().hex[:8]}")
+    return monitor.drained(monitor.activity_sessions(_stream(spark, d), "user_id", gap="6 hours", late="60 days"), f"t3_{uuid.uuid4().hex[:8]}")
 
 
 @query("t3_stalls", """with g as (select user_id, ts, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as d, event_id from events) select user_id, count(*) as stalls, round(max(d) / 1e6, 3) as longest from g where d > 43200000000 group by 1""")
 def t3_stalls(spark, d):
-    got = monitor.to_memory(monitor.stalls(_stream(spark, d), "user_id", "bigint", after=43200.0), f"t3s_{uuid.uuid4().hex[:8]}", "append")
+    got = monitor.drained(monitor.stalls(_stream(spark, d), "user_id", "bigint", after=43200.0), f"t3s_{uuid.uuid4().hex[:8]}", "append")
     return got.groupBy("user_id").agg(F.count("*").alias("stalls"), F.round(F.max("seconds"), 3).alias("longest"))
 
 
 @query("t4_running_ranges", "select event_type, min(value) as min, max(value) as max, round(sum(value), 4) as sum, count(value) as count from events group by 1")
 def t4(spark, d):
-    return monitor.to_memory(monitor.running_ranges(_stream(spark, d), "event_type"), f"t4_{uuid.uuid4().hex[:8]}").withColumn("sum", F.round("sum", 4))
+    return monitor.drained(monitor.running_ranges(_stream(spark, d), "event_type"), f"t4_{uuid.uuid4().hex[:8]}").withColumn("sum", F.round("sum", 4))
 
 
 @query("t6_t7_once_only", "select distinct user_id from events where user_id is not null")
 def t7(spark, d):
-    return monitor.to_memory(monitor.without_repeats(_stream(spark, d).select("user_id", "ts"), ["user_id"], late="60 days"), f"t7_{uuid.uuid4().hex[:8]}", "append").select("user_id")
+    return monitor.drained(monitor.without_repeats(_stream(spark, d).select("user_id", "ts"), ["user_id"], late="60 days"), f"t7_{uuid.uuid4().hex[:8]}", "append").select("user_id")
 
 
 @query("t5_flushed_progress", "select count(*) as n from events")

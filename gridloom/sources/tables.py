@@ -57,10 +57,10 @@ def threshold_results(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Features of GeoJSON files: kind of geometry, coordinates as text, and properties by the given schema."""
+def geojson(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
+    """Features of GeoJSON files, one collection a file or (lines) one a line: kind of geometry, coordinates as text, and properties by the given schema."""
     schema = f"features array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<{properties}>>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path)
+    rows = spark.read.schema(schema).option("multiLine", "false" if lines else "true").json(path)
     return rows.select(F.explode("features").alias("f")).select(F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), "f.properties.*")
 
 
@@ -75,6 +75,14 @@ def write_geojson_lines(df: DataFrame, ring: str, path: str, *properties: str) -
     df.where(F.size(ring) >= 3).select(geojson_text(F.col(ring), *properties).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_collections(df: DataFrame, feature: str, key: Column, path: str, size: int = 1000) -> None:
+    """Feature collections, one a line, of about so many features (JSON text) each: the key's hash deals them, so no task holds them all."""
+    n = df.agg(F.count(feature).alias("_n"))
+    dealt = df.crossJoin(F.broadcast(n)).select(F.pmod(F.xxhash64(key), F.greatest(F.lit(1), F.ceil(F.col("_n") / size))).alias("_part"), F.col(feature).alias("_f"))
+    together = dealt.groupBy("_part").agg(F.concat_ws(",", F.collect_list("_f")).alias("_fs"))
+    together.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "_fs", F.lit("]}")).alias("value")).write.mode("overwrite").text(path)
+
+
 def file_catalog(names: DataFrame, name: str = "name") -> DataFrame:
     """Per year, the labelled and the inferred file of a list of names."""
     rows = names.select(name, year_in_name(F.col(name)).alias("year"), kind_in_name(F.col(name)).alias("kind")).where("year is not null and kind is not null")

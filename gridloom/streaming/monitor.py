@@ -78,11 +78,18 @@ def without_repeats(log: DataFrame, key: list[str], ts: str = "ts", late: str =
     return log.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
-def to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is and returns the rows it gave."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", shared_path(df.sparkSession, name)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def drained(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what there is and reads the rows it gave from Parquet in the shared folder; totals replace those of the batch before."""
+    spark, folder = df.sparkSession, shared_path(df.sparkSession, name)
+    rows = f"{folder}/rows"
+    spark.createDataFrame([], df.schema).write.parquet(rows)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", rows)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows))
+    writer.start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(rows)
 
 
 def flushed(df: DataFrame, path: str, checkpoint: str, every: str = "45 seconds", mode: str = "append") -> StreamingQuery:

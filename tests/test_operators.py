@@ -192,6 +192,34 @@ def test_factor_analysis(spark):
     assert index.wealth_index.min() == 0 and index.wealth_index.max() == 1 and np.corrcoef(index.wealth_index, z)[0, 1] > 0.9
 
 
+def test_factor_analysis_codes_every_level(spark):
+    rows = [(float(i % 7), f"v{i % 250:03d}", "x" if i % 3 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "u double, a string, b string")
+    f = factors.fit(df, ["u"], ["a", "b"])
+    assert len(f.names) == 1 + 250 + 1 and f.names[1:3] == ["a=v000", "a=v001"]
+    # The trace is the sum of the columns' variances: 1 for numbers, 1 - share for levels.
+    assert abs(f.eigenvalues.sum() - (1 + sum(1 - p for _, _, p in f.levels))) < 1e-9
+    with pytest.raises(ValueError, match="more than 100"):
+        factors.fit(df, ["u"], ["a"], most_columns=100)
+
+
+def test_modes(spark):
+    df = spark.createDataFrame([(10, "b"), (9, "b"), (10, "a"), (9, "a"), (None, None)], "n int, t string")
+    assert tuple(survey.smallest_mode(df, ["n", "t"]).first()) == (9, "a")
+    assert tuple(survey.smallest_mode(df.limit(0), ["n", "t"]).first()) == (None, None)
+    got = survey.filled(df.withColumn("u", F.lit(None).cast("string")), ["n"], ["t", "u"]).where("t = 'a' and n = 9.5 and u = 'missing'")
+    assert got.count() == 1 and survey.filled(df, [], []).count() == 5
+
+
+def test_a_stream_without_files_gives_no_rows(spark, tmp_path):
+    from gridloom.streaming import monitor
+
+    (tmp_path / "none").mkdir()
+    stream = monitor.log_stream(spark, str(tmp_path / "none"), "k string, ts timestamp", "parquet")
+    assert monitor.drained(monitor.failure_counts(stream, "k"), "none_test").count() == 0
+    assert monitor.drained(stream, "none_rows", "append").count() == 0
+
+
 def test_integrity(spark):
     log = spark.createDataFrame([(None,), ("global",), ("batch_0_500",), ("17",), ("17",), ("x",)], "cell_id string")
     assert [r[0] for r in integrity.failed_cells(log).collect()] == [17]
@@ -221,7 +249,7 @@ def test_stalls(spark, tmp_path):
     for i in range(0, len(rows), 3):
         spark.createDataFrame(rows[i : i + 3], "k string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
     stream = monitor.log_stream(spark, str(tmp_path / "log"), "k string, ts timestamp", "parquet")
-    got = sorted((r.k, r.seconds, r.consecutive, r.escalated) for r in monitor.to_memory(monitor.stalls(stream, "k", "string"), "stalls_test", "append").collect())
+    got = sorted((r.k, r.seconds, r.consecutive, r.escalated) for r in monitor.drained(monitor.stalls(stream, "k", "string"), "stalls_test", "append").collect())
     assert got == [("a", 190.0, 1, False), ("a", 200.0, 2, True)]
 
 
