@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.functions.geometry import boxes_meet, overlap_area
+from gridloom.functions.geometry import boxes_meet, overlap_area, valid_ring
 from gridloom.functions.numbers import snap_down, snap_up
 
 BOUNDS = ("x0", "y0", "x1", "y1")
@@ -110,3 +110,8 @@ def covered_area(boxes: DataFrame, key: list[str]) -> DataFrame:
     before = F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     gain = F.greatest(F.lit(0.0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(before, F.col("y0"))))
     return inside.withColumn("_gain", gain).groupBy(*key).agg(F.sum(F.col("_gain") * (F.col("to") - F.col("x"))).alias("covered_area"))
+
+
+def valid_shapes(df: DataFrame, ring: str) -> DataFrame:
+    """Rows whose ring is there, closed and has an area."""
+    return df.where(F.coalesce(valid_ring(F.col(ring)), F.lit(False)))

@@ -169,9 +169,22 @@ def g4(spark, d):
     return rows.select("dhsclust", F.round(G.ring_area(r), 3).alias("area"), F.round("c.x", 4).alias("cx"), F.round("c.y", 4).alias("cy"), "b.x0", "b.y0", "b.x1", "b.y1", G.valid_ring(r).alias("valid"))
 
 
-@query("g6_g7_clipped_area")
+# Widths of the triangle between the box's sides, integrated over heights 400 to 2500: right edges less left ones.
+_CLIP = """3 * (pow(2500 / 6.0, 2) - pow(400, 2)) + 2500 * (1375 - 2500 / 6.0) + 3000.0 * 1125 - 2 / 7.0 * (pow(2000, 2) - pow(875, 2))
+    - 500.0 * 1600 - (pow(2500, 2) - pow(2000, 2)) / 8"""
+
+
+@query("g6_g7_clipped_area", f"select dhsclust, round({_CLIP}, 1) as area from ({_T})")
 def g6(spark, d):
-    return _triangle(spark, d).select("dhsclust", F.round(G.ring_area(G.clipped(F.col("ring"), F.col("box"))), 3).alias("area"))
+    return _triangle(spark, d).select("dhsclust", F.round(G.ring_area(G.clipped(F.col("ring"), F.col("box"))), 1).alias("area"))
+
+
+@query("p13_valid_shapes", f"select dhsclust from ({P.PLACES}) where dhsclust % 4 not in (0, 1)")
+def p13(spark, d):
+    """Of closed triangles, those without a ring or with one of no area go."""
+    k, r = F.col("dhsclust") % 4, F.col("ring")
+    ring = F.when(k == 0, F.lit(None)).when(k == 1, F.array(r[0], r[1], r[1], r[0])).otherwise(F.concat(r, F.slice(r, 1, 1)))
+    return grid.valid_shapes(_triangle(spark, d).withColumn("ring", ring), "ring").select("dhsclust")
 
 
 @query("g8_circles", f"select dhsclust, round(32 * r * r * sin(2 * pi() / 64), 2) as area, 64 as points from (select dhsclust, case urban_rura when 'U' then 2000.0 else 5050.0 end as r from ({P.PLACES}))")

@@ -10,5 +10,9 @@ from pyspark.sql import SparkSession
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder in the one the cluster names in spark.checkpoint.dir; only where it names none (tests, one machine) in the temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
