@@ -18,6 +18,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the one the cluster names; only where it names none (tests, one machine) a temporary one is made."""
     base = spark.conf.get(SETTING, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} must name a folder that driver and executors share")
         base = getattr(spark, "_gridloom_shared", None)
         if base is None:
             base = spark._gridloom_shared = "file://" + tempfile.mkdtemp(prefix="gridloom-")
