@@ -4,7 +4,7 @@
    symbols and capitals, variety of words, in coarse steps) and over how many telling words of each domain a text has. Telling words are those
    that a bounded labelled sample shows to be several times as frequent in a domain as outside it.
 2. Nonnegative document rates are fitted by projected gradient steps so that the expected tokens of each domain, the sum of
-   rate * tokens * posterior, come to the target shares of a budget: least squares over the domains, from rates of one. A rate depends on
+   rate * tokens * posterior, come to the target shares of a budget: least squares over the domains, each relative to what it has, from rates of one. A rate depends on
    a document through its posteriors alone, so documents are summed by posteriors in steps of a hundredth, and every step is an aggregation of that table,
    whose size the number of domains bounds.
 3. A rate becomes copies: its whole part, and one more with the probability of the rest, decided by a hash of doc_id.
@@ -143,17 +143,15 @@ def fit_domains(docs: DataFrame, labels: DataFrame, config: MixConfig = MixConfi
 def fit_rates(cells: DataFrame, config: MixConfig) -> Column:
     """A column that turns posteriors (p) into rates. cells: p and tokens, one row for each value of p.
 
-    Projected gradient steps from rates of one. The loss is the squared distance of the expected tokens from their goals, measured by the inverse of the
-    domains' token-weighted second moments, so that rare domains and ones that share documents need no more steps than others. Against it a step of one is
-    never too long; longer ones come from the curvature along the last step (Barzilai and Borwein), unless the loss has risen above its last five values.
+    Projected gradient steps from rates of one. The loss is the sum over domains of (tokens - goal)^2 / own. Against it a step of one is never too long, as no
+    document's posteriors sum to more than one; longer ones come from the curvature along the last step (Barzilai and Borwein), unless the loss has risen above its last five values.
     A step is an aggregation of the cells; the driver holds its gradient, a number for each domain, and a row's rate is found by going through the steps again
     (cells are stored with theirs after every ``replayed`` steps).
     """
     names = list(config.domains)
     d = len(names)
     t, p = F.col("tokens"), F.col("p")
-    totals = cells.agg(*[F.sum(t * p[i]) for i in range(d)], *[F.sum(t * p[i] * p[j]) for i in range(d) for j in range(d)]).first()
-    own = [float(x or 0.0) for x in totals[:d]]
+    own = [float(x or 0.0) for x in cells.agg(*[F.sum(t * p[i]) for i in range(d)]).first()]
     anchor = names.index(config.anchor)
     if not own[anchor] or not config.targets.get(config.anchor):
         budget = sum(own)
@@ -165,9 +163,6 @@ def fit_rates(cells: DataFrame, config: MixConfig) -> Column:
     kept = p[anchor] >= F.array_max("p") if config.keep_anchor else F.lit(False)
     least = F.when(kept, 1.0).otherwise(0.0)
     goal, has = np.array([config.targets[names[i]] * budget for i in at]), np.array([own[i] for i in at])
-    moments = np.array([float(x or 0.0) for x in totals[d:]]).reshape(d, d)[np.ix_(at, at)]
-    scale = 1 / np.sqrt(has)
-    inverse = np.linalg.pinv(moments * np.outer(scale, scale), rcond=1e-9, hermitian=True) * np.outer(scale, scale)
     allowed = config.tolerance * np.where(goal > 0, goal, has)
     taken: list[np.ndarray] = []
 
@@ -187,7 +182,7 @@ def fit_rates(cells: DataFrame, config: MixConfig) -> Column:
         at_hand = last.withColumn("rate", after(F.col("last"), taken[-1:]) if len(taken) > first else F.col("last"))
         got = [float(x or 0.0) for x in at_hand.agg(F.sum(t * F.pow(F.col("rate") - F.col("last"), F.lit(2.0))), *[F.sum(t * F.col("rate") * p[i]) for i in at]).first()]
         now = np.array(got[1:])
-        gradient = inverse @ (now - goal)
+        gradient = (now - goal) / has
         move = F.abs(down(F.col("rate"), [F.lit(float(g)) for g in gradient]) - F.col("rate")) / F.greatest(F.col("rate"), F.lit(1.0))
         if (np.abs(now - goal) <= allowed).all() or (at_hand.agg(F.max(move)).first()[0] or 0.0) <= config.tolerance:
             break
@@ -195,7 +190,7 @@ def fit_rates(cells: DataFrame, config: MixConfig) -> Column:
             raise RuntimeError(f"rates have not converged in {config.steps} steps; still off their goals by {dict(zip([names[i] for i in at], ((now - goal) / has).tolist(), strict=True))} of what the domains have")
         loss, length = float((now - goal) @ gradient), 1.0
         if before is not None and loss <= max(past[-5:]):
-            curved = float((now - before) @ inverse @ (now - before))
+            curved = float(((now - before) ** 2 / has).sum())
             length = min(1e4, max(1.0, got[0] / curved)) if curved > 0 and got[0] > 0 else 1.0
         past.append(loss)
         before = now

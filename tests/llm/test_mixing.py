@@ -108,16 +108,24 @@ def test_totals_of_plain_projected_gradient(spark, spread):
     config = M.MixConfig()
     goal = np.array([0.92, 0.04, 0.04]) * config.margin * (t @ p)[0] / 0.92
     least = (p[:, 0] >= p.max(1)).astype(float)
-    inverse = np.linalg.inv((p * t[:, None]).T @ p)
+    own = t @ p
     r = np.ones(300)
     for _ in range(20_000):
-        r = np.maximum(least, r - p @ (inverse @ ((r * t) @ p - goal)))
+        r = np.maximum(least, r - p @ (((r * t) @ p - goal) / own))
     cells = spark.createDataFrame([(list(map(float, np.round(x, 2))), float(n)) for x, n in zip(p, t, strict=True)], "p array<double>, tokens double").coalesce(1)
     got = cells.withColumn("rate", M.fit_rates(cells, config)).collect()
     held = sum(x.rate * x.tokens * np.array(x.p) for x in got)
     assert np.abs(held - (r * t) @ p).max() < 0.005 * t.sum() and all(x.rate >= 0 for x in got)
 
 
+def test_what_cannot_be_met_for_one_domain_changes_no_other(spark):
+    """Likely clean documents stay though they bring too much of the toxic domain; no clean ones are repeated to make up for it."""
+    cells = spark.createDataFrame([([0.6, 0.0, 0.4], 1000.0), ([1.0, 0.0, 0.0], 5000.0)], "p array<double>, tokens double")
+    with pytest.warns(UserWarning, match="toxic"):
+        rate = M.fit_rates(cells, M.MixConfig(targets={"clean": 0.98, "toxic": 0.02}, margin=1.0))
+    assert [round(r.rate, 3) for r in cells.withColumn("rate", rate).collect()] == [1.0, 1.0]
+
+
 def test_rates_that_do_not_converge_are_an_error_and_missed_targets_a_warning(spark):
     cells = spark.createDataFrame([([0.7, 0.2, 0.1], 1000.0), ([0.1, 0.8, 0.1], 10.0), ([0.3, 0.1, 0.6], 5.0)], "p array<double>, tokens double")
     with pytest.raises(RuntimeError, match="converged"):
