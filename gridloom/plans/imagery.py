@@ -98,13 +98,8 @@ def f21(spark, d):
     return _wide(spark, d).select("vec_id", s.alias("scaled"), raster.distinct_values(a).cast("bigint").alias("distinct_values"), F.array_min(a).alias("least"), F.array_max(a).alias("most"), raster.blank(a).alias("blank"))
 
 
-@query("r2_r10_channel_order", f"select vec_id, unnest(range(48)) as k, unnest(list_concat(list_concat(a, b), c)) as first, unnest(flatten(list_transform(range(1, 17), lambda i: [a[i], b[i], c[i]]))) as last from ({_WIDE}) where vec_id % 10 = 0")
+@query("r2_r10_channel_order", f"select vec_id, unnest(range(48)) as k, unnest(list_concat(list_concat(a, b), c)) as first, unnest(flatten(list_transform(range(1, 17), lambda i: [a[i], b[i], c[i]]))) as last from ({_WIDE})")
 def r2(spark, d):
-    return _channels(_wide(spark, d).where("vec_id % 10 = 0"))
-
-
-@query("r2_r10_channel_order_whole", f"select vec_id, unnest(range(48)) as k, unnest(list_concat(list_concat(a, b), c)) as first, unnest(flatten(list_transform(range(1, 17), lambda i: [a[i], b[i], c[i]]))) as last from ({_WIDE})")
-def r2_whole(spark, d):
     return _channels(_wide(spark, d))
 
 
@@ -135,13 +130,8 @@ _TURN = ", ".join(f"data[{(i % 8) * 8 + (7 - i // 8) + 1}]" for i in range(64))
 _FLIP = ", ".join(f"data[{(i // 8) * 8 + (7 - i % 8) + 1}]" for i in range(64))
 
 
-@query("r9_augmented", f"select cell_id, unnest(range(64)) as k, unnest([{_TURN}]) as turned, unnest([{_FLIP}]) as flipped from ({P.BANDS}) where cell_id % 10 = 0")
+@query("r9_augmented", f"select cell_id, unnest(range(64)) as k, unnest([{_TURN}]) as turned, unnest([{_FLIP}]) as flipped from ({P.BANDS})")
 def r9(spark, d):
-    return _turned(P.bands(spark, d).where("cell_id % 10 = 0"))
-
-
-@query("r9_augmented_whole", f"select cell_id, unnest(range(64)) as k, unnest([{_TURN}]) as turned, unnest([{_FLIP}]) as flipped from ({P.BANDS})")
-def r9_whole(spark, d):
     return _turned(P.bands(spark, d))
 
 

@@ -354,13 +354,13 @@ def test_imputed_values_do_not_depend_on_the_size_of_parts(spark):
     assert len(imputation.encoded(df, [], ["many"])[1]) == 60
 
 
-def test_mean_intervals_of_whole_groups_of_any_size(spark, monkeypatch):
+def test_mean_intervals_of_groups_of_any_size(spark, monkeypatch):
     from gridloom import catalog
     from gridloom.plans import stats as plans
 
     rows = [(i, 0 if i < 200 else 1, "a", float(i * 7919 % 1009)) for i in range(203)]
     monkeypatch.setattr(plans, "table", lambda spark, d, name: spark.createDataFrame(rows, "c_custkey int, c_nationkey int, c_mktsegment string, c_acctbal double"))
-    got = {r.c_nationkey: r for r in catalog.QUERIES["a11_mean_interval_whole"](spark, "").collect()}
+    got = {r.c_nationkey: r for r in catalog.QUERIES["a11_mean_interval"](spark, "").collect()}
     # Quantiles from published tables: 199 and 2 degrees of freedom.
     for k, t in ((0, 1.971957), (1, 4.302653)):
         x = np.array([v for _, n, _, v in rows if n == k])
@@ -368,12 +368,12 @@ def test_mean_intervals_of_whole_groups_of_any_size(spark, monkeypatch):
         assert got[k].n == len(x) and abs(got[k].lower - (x.mean() - half)) < 1e-3 and abs(got[k].upper - (x.mean() + half)) < 1e-3
 
 
-def test_whole_queries_reorder_and_turn_every_cell(spark, monkeypatch):
+def test_every_cell_is_reordered_and_turned(spark, monkeypatch):
     from gridloom import catalog
     from gridloom.plans import imagery as plans
 
     monkeypatch.setattr(plans, "_wide", lambda spark, d: spark.range(25).selectExpr("id as vec_id", *[f"transform(sequence(1, 16), x -> x + {100 * n}.0) as {c}" for n, c in enumerate("abc")]))
     monkeypatch.setattr(plans.P, "bands", lambda spark, d: spark.range(25).selectExpr("id as cell_id", "transform(sequence(1, 64), x -> x + 0.0) as data", "8 as height", "8 as width"))
-    for name, key, n in (("r2_r10_channel_order_whole", "vec_id", 48), ("r9_augmented_whole", "cell_id", 64)):
+    for name, key, n in (("r2_r10_channel_order", "vec_id", 48), ("r9_augmented", "cell_id", 64)):
         got = catalog.QUERIES[name](spark, "").groupBy(key).count().collect()
         assert sorted(r[key] for r in got) == list(range(25)) and {r["count"] for r in got} == {n}
