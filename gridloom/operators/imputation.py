@@ -85,6 +85,20 @@ class Imputer(Protocol):
     def impute(self, known: np.ndarray, target: np.ndarray, wanted: np.ndarray, kind: str, settings: dict) -> np.ndarray: ...
 
 
+def _boxes(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """Positions of rows near each other, at most so many in each: halves of halves along the widest column."""
+    done, left = [], [np.arange(len(x))]
+    while left:
+        rows = left.pop()
+        if len(rows) <= most:
+            done.append(rows)
+            continue
+        column = x[rows, np.ptp(x[rows], axis=0).argmax()] if x.shape[1] else np.zeros(len(rows))
+        by = np.argpartition(column, len(rows) // 2)
+        left += [rows[by[: len(rows) // 2]], rows[by[len(rows) // 2 :]]]
+    return done
+
+
 class NearestNeighbours:
     """Values of the nearest rows: their mean, or the most frequent of them."""
 
@@ -99,17 +113,38 @@ class NearestNeighbours:
     def complexity(self) -> Column:
         return numbers.neighbour_complexity(F.col("n_neighbors"), F.col("metric"), F.col("algorithm"), F.col("weights"), F.col("leaf_size"))
 
-    def nearest(self, known: np.ndarray, wanted: np.ndarray, settings: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and positions of the nearest known rows of each wanted one, the nearest first; of equal ones the earlier."""
-        k, step = min(settings.get("n_neighbors", 5), len(known)), max(1, 2_000_000 // max(1, known.size))
+    def distances(self, gap: np.ndarray, settings: dict) -> np.ndarray:
+        """Of absolute differences, the columns in the last axis."""
         metric, p = settings.get("metric", "euclidean"), settings.get("p") or 2
-        found = [(np.zeros((0, k)), np.zeros((0, k), int))]
-        for a in range(0, len(wanted), step):
-            gap = np.abs(wanted[a : a + step, None, :] - known[None, :, :])
-            d = {"euclidean": lambda: np.sqrt((gap**2).sum(2)), "manhattan": lambda: gap.sum(2), "chebyshev": lambda: gap.max(2, initial=0), "minkowski": lambda: (gap**p).sum(2) ** (1 / p), "hamming": lambda: (gap > 0).mean(2) if gap.shape[2] else gap.sum(2)}[metric]()
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            found.append((np.take_along_axis(d, near, 1), near))
-        return np.concatenate([d for d, _ in found]), np.concatenate([n for _, n in found])
+        return {"euclidean": lambda: np.sqrt((gap**2).sum(-1)), "manhattan": lambda: gap.sum(-1), "chebyshev": lambda: gap.max(-1, initial=0), "minkowski": lambda: (gap**p).sum(-1) ** (1 / p), "hamming": lambda: (gap > 0).mean(-1) if gap.shape[-1] else gap.sum(-1)}[metric]()
+
+    def nearest(self, known: np.ndarray, wanted: np.ndarray, settings: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and positions of the nearest known rows of each wanted one, the nearest first; of equal ones the earlier.
+
+        Both sides are cut into boxes of neighbouring rows. A box of wanted rows looks into boxes of known ones from the nearest on, until the next is further
+        away than the last neighbour of each; so nothing is left out. Values that aren't finite have no such bounds, and every box is looked into.
+        """
+        k = min(settings.get("n_neighbors", 5), len(known))
+        d, near = np.full((len(wanted), k), np.inf), np.full((len(wanted), k), len(known))
+        if not k or not len(wanted):
+            return d, near
+        bounded = np.isfinite(known).all() and np.isfinite(wanted).all()
+        boxes = _boxes(known, 64)
+        low, high = np.array([known[b].min(0) for b in boxes]), np.array([known[b].max(0) for b in boxes])
+        for rows in _boxes(wanted, max(1, min(64, 2_000_000 // (256 * max(1, known.shape[1]))))):
+            x, best, at = wanted[rows], d[rows], near[rows]
+            least = self.distances(np.maximum(0, np.maximum(low - x.max(0), x.min(0) - high)), settings) * (1 - 1e-9) if bounded else np.zeros(len(boxes))
+            order, i, step = np.argsort(least, kind="stable"), 0, 1
+            while i < len(order) and not least[order[i]] > best[:, -1].max():
+                ids = np.concatenate([boxes[b] for b in order[i : i + step] if not least[b] > best[:, -1].max()])
+                found = self.distances(np.abs(x[:, None, :] - known[ids]), settings)
+                close = ~(found > best[:, -1:]).all(0)
+                both, where = np.hstack([best, found[:, close]]), np.hstack([at, np.broadcast_to(ids[close], (len(rows), int(close.sum())))])
+                first = np.lexsort((where, both) if bounded else (where, both, where == len(known)), axis=1)[:, :k]
+                best, at = np.take_along_axis(both, first, 1), np.take_along_axis(where, first, 1)
+                i, step = i + step, min(4, 2 * step)
+            d[rows], near[rows] = best, at
+        return d, near
 
     def combined(self, d: np.ndarray, values: np.ndarray, kind: str, settings: dict) -> np.ndarray:
         """Means or most frequent values of neighbours, a row of them for each result."""
@@ -317,37 +352,60 @@ def encoded(df: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[
 def imputed(df: DataFrame, column: str, numeric: list[str], categorical: list[str], by: str, name: str = "knn", settings: dict | None = None, kind: str = "numeric", row_id: str = "row_id", part: int = 20_000) -> DataFrame:
     """row_id and value for each row of df in which the column is null, group by group, from all known rows of the group.
 
-    ``part`` bounds what a task holds and doesn't change results. Nearest neighbours compare each block of about so many wanted rows with each block
-    of known ones and keep the nearest of all; regressions of numbers are fitted from moments that are summed over blocks. Logistic regressions and
+    ``part`` bounds what a task holds and doesn't change results. Rows with equal predictors get equal values, so nearest neighbours are sought once for
+    each different row of predictors: a block of about so many wanted ones is compared with each block of known ones, of which the first rows of each stay,
+    and the nearest of all are kept. Regressions of numbers are fitted from moments that are summed over blocks. Logistic regressions and
     forests learn from a whole group in one task. A group without known rows takes the overall mean or mode. No predictors: all rows are equally near.
     """
     settings, chosen = settings or {}, method(name)
     out, id_type = "double" if kind == "numeric" else "string", dict(df.dtypes)[row_id]
-    x, names = encoded(df.drop(column), numeric, categorical)
-    x = x.select(row_id, F.array(*[F.col(c).cast("double") for c in names]).cast("array<double>").alias("_x"))
-    base = df.select(row_id, F.col(by).alias("_by"), F.col(column).cast(out).alias("_y"))
+    whole, names = encoded(df.withColumns({"_by": F.col(by), "_y": F.col(column).cast(out)}).drop(column), numeric, categorical)
+    base = whole.select(row_id, "_by", "_y", F.array(*[F.col(c).cast("double") for c in names]).cast("array<double>").alias("_x"))
+    by_type = dict(base.dtypes)["_by"]
     blocks = lambda n: F.ceil(n / part).cast("int")
     sizes = base.groupBy("_by").agg(blocks(F.count("_y")).alias("_known"), blocks(F.count("*") - F.count("_y")).alias("_wanted"))
-    rows = base.join(F.broadcast(sizes), "_by").join(x, row_id)
+    rows = base.join(F.broadcast(sizes), "_by")
     default = (df.agg(F.avg(column)) if kind == "numeric" else mode_of(df, F.col(column).cast("string"), "d")).first()[0]
     alone = rows.where("_known = 0 and _y is null").select(row_id, F.lit(default).cast(out).alias("value"))
     rows = rows.where("_known > 0 and _wanted > 0")
-    at = lambda n: F.pmod(F.xxhash64(row_id), F.col(n)).cast("int")
-    matrix = lambda p: np.array(p["_x"].tolist(), float).reshape(len(p), len(names))
+    at = lambda n, key=row_id: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    matrix = lambda p: np.concatenate([np.zeros(0), *p["_x"]]).reshape(len(p), len(names))
 
     if isinstance(chosen, NearestNeighbours):
+        k = settings.get("n_neighbors", 5)
         every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        known = rows.where("_y is not null").withColumn("_k", at("_known")).withColumn("_w", F.explode(every("_wanted")))
-        wanted = rows.where("_y is null").withColumn("_w", at("_wanted")).withColumn("_k", F.explode(every("_known")))
+        kinds = rows.groupBy("_by").agg(*[F.greatest(F.lit(1), blocks(F.approx_count_distinct(F.when(F.col("_y").isNull() == null, F.col("_x"))))).alias(n) for n, null in (("_known", False), ("_wanted", True))])
+        first = rows.where("_y is not null").withColumn("_r", F.row_number().over(Window.partitionBy("_by", "_x").orderBy(row_id))).where(F.col("_r") <= k)
+        first = first.groupBy("_by", "_x").agg(F.array_sort(F.collect_list(F.struct(F.col(row_id).alias("id"), F.col("_y").alias("y")))).alias("_rows"))
+        known = first.join(F.broadcast(kinds), "_by").select("_by", "_x", F.explode(every("_wanted")).alias("_w"), at("_known", "_x").alias("_k"), F.col("_rows.id").alias("_id"), F.col("_rows.y").alias("_v"))
+        wanted = rows.where("_y is null").select("_by", "_x").distinct().join(F.broadcast(kinds), "_by")
+        wanted = wanted.select("_by", "_x", at("_wanted", "_x").alias("_w"), F.explode(every("_known")).alias("_k"))
 
         def near(pdf: pd.DataFrame) -> pd.DataFrame:
-            known, wanted = pdf[pdf["_y"].notna()].sort_values(row_id), pdf[pdf["_y"].isna()]
-            d, found = chosen.nearest(matrix(known), matrix(wanted), settings)
-            pick = lambda c: known[c].to_numpy()[found].ravel()
-            return pd.DataFrame({row_id: np.repeat(wanted[row_id].to_numpy(), found.shape[1]), "d": d.ravel(), "id": pick(row_id), "y": pick("_y")})
-
-        pairs = known.unionByName(wanted).groupBy("_by", "_w", "_k").applyInPandas(near, f"{row_id} {id_type}, d double, id {id_type}, y {out}")
-        merged = pairs.groupBy(row_id).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "y"))), 1, settings.get("n_neighbors", 5)).alias("_n"))
+            known, wanted = pdf[pdf["_id"].notna()], pdf[pdf["_id"].isna()]
+            if not len(known) or not len(wanted):
+                return pd.DataFrame({"_by": [], "_x": [], "d": [], "id": [], "y": []})
+            ids, values, many = np.concatenate(list(known["_id"])), np.concatenate(list(known["_v"])), known["_id"].map(len).to_numpy()
+            place = np.empty(len(ids), int)
+            place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+            start = np.cumsum(many) - many
+            turn = np.argsort(place[start])
+            start, many = start[turn], many[turn]
+            d, found = chosen.nearest(matrix(known)[turn], matrix(wanted), settings)
+            rows, step = [(np.zeros((0, 0)), np.zeros((0, 0), int))], max(1, 1_000_000 // (found.shape[1] * many.max()))
+            for a in range(0, len(wanted), step):
+                f, j = found[a : a + step, :, None], np.arange(many.max())
+                spare = np.broadcast_to(j >= many[f], (len(f), f.shape[1], len(j))).reshape(len(f), -1)
+                flat, away = np.where(spare, 0, (start[f] + j).reshape(len(f), -1)), np.repeat(d[a : a + step], len(j), axis=1)
+                order = np.lexsort((place[flat], away, spare), axis=1)[:, :k]
+                left = (~np.take_along_axis(spare, order, 1)).sum(1)
+                flat, away = np.take_along_axis(flat, order, 1), np.take_along_axis(away, order, 1)
+                rows += [(away[i, :n], flat[i, :n]) for i, n in enumerate(left)]
+            return pd.DataFrame({"_by": wanted["_by"].to_numpy(), "_x": wanted["_x"].to_numpy(), "d": [a for a, _ in rows[1:]], "id": [ids[b] for _, b in rows[1:]], "y": [values[b] for _, b in rows[1:]]})
+
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = known.unionByName(wanted, allowMissingColumns=True).repartition(tasks, "_by", "_w", "_k").groupBy("_by", "_w", "_k").applyInPandas(near, f"_by {by_type}, _x array<double>, d array<double>, id array<{id_type}>, y array<{out}>")
+        merged = pairs.groupBy("_by", "_x").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "id", "y")))), 1, k).alias("_n"))
 
         def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -355,9 +413,10 @@ def imputed(df: DataFrame, column: str, numeric: list[str], categorical: list[st
                 for k in count.unique():
                     m = (count == k).to_numpy()
                     value[m] = chosen.combined(np.array(pdf["d"][m].tolist()), np.array(pdf["y"][m].tolist(), None if kind == "numeric" else object), kind, settings)
-                yield pd.DataFrame({row_id: pdf[row_id], "value": value.astype(float) if kind == "numeric" else value})
+                yield pd.DataFrame({"_by": pdf["_by"], "_x": pdf["_x"], "value": value.astype(float) if kind == "numeric" else value})
 
-        got = merged.select(row_id, F.col("_n.d").alias("d"), F.col("_n.y").alias("y")).mapInPandas(voted, f"{row_id} {id_type}, value {out}")
+        values = merged.select("_by", "_x", F.col("_n.d").alias("d"), F.col("_n.y").alias("y")).mapInPandas(voted, f"_by {by_type}, _x array<double>, value {out}")
+        got = rows.where("_y is null").select(row_id, "_by", "_x").join(values, ["_by", "_x"]).select(row_id, "value")
     elif isinstance(chosen, ChainedEquations) and kind == "numeric":
 
         def moments(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -369,7 +428,6 @@ def imputed(df: DataFrame, column: str, numeric: list[str], categorical: list[st
             parts = [(n, np.array(m), np.array(g).reshape(len(m), len(m))) for n, m, g in zip(pdf["n"], pdf["mean"], pdf["gram"], strict=True)]
             return pd.DataFrame({"_by": pdf["_by"].iloc[:1].to_numpy(), "_b": [chosen.coefficients(*chosen.summed(parts), settings)]})
 
-        by_type = dict(base.dtypes)["_by"]
         sums = rows.where("_y is not null").groupBy("_by", at("_known").alias("_k")).applyInPandas(moments, f"_by {by_type}, n bigint, mean array<double>, gram array<double>")
         models = sums.groupBy("_by").applyInPandas(fitted, f"_by {by_type}, _b array<double>")
         terms = F.zip_with(F.concat("_x", F.array(F.lit(1.0))), "_b", lambda a, b: a * b)

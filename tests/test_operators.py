@@ -354,6 +354,26 @@ def test_imputed_values_do_not_depend_on_the_size_of_parts(spark):
     assert len(imputation.encoded(df, [], ["many"])[1]) == 60
 
 
+def test_nearest_rows_are_sought_once_for_equal_predictors(spark, monkeypatch):
+    class Strict(imputation.NearestNeighbours):
+        def nearest(self, known, wanted, settings):
+            for x in (known, wanted):
+                if len(np.unique(x, axis=0)) < len(x):
+                    raise ValueError("rows with equal predictors")
+            return super().nearest(known, wanted, settings)
+
+    monkeypatch.setitem(imputation.METHODS, "knn", Strict)
+    df = spark.range(600).selectExpr("id as row_id", "cast(id % 3 as string) as survey", "case when id % 10 > 1 then concat('c', id * 7 % 11 % 4) end as kind", "concat('b', id * 13 % 17 % 5) as brand")
+    rows = df.collect()
+    for part in (20_000, 3):
+        got = dict(imputation.imputed(df, "kind", [], ["brand"], "survey", "knn", {"n_neighbors": 5, "metric": "hamming", "weights": "distance"}, "categorical", part=part).collect())
+        assert len(got) == 120
+        for r in rows:
+            if r.kind is None:
+                near = [k.kind for k in sorted((k for k in rows if k.kind and k.survey == r.survey), key=lambda k: (k.brand != r.brand, k.row_id))[:5]]
+                assert got[r.row_id] == min(near, key=lambda v: (-near.count(v), v))
+
+
 def test_mean_intervals_of_groups_of_any_size(spark, monkeypatch):
     from gridloom import catalog
     from gridloom.plans import stats as plans
