@@ -256,61 +256,98 @@ class Forest:
     def complexity(self) -> Column:
         return numbers.forest_complexity(F.col("n_estimators"), F.col("n_iterations"), F.col("max_depth"), F.col("max_features"), F.col("min_samples_split"))
 
+    #: Trees that one task grows.
+    chunk = 10
+
+    def trees(self, settings: dict) -> int:
+        return settings.get("n_estimators", 100)
+
+    def votes(self, known: np.ndarray, y: np.ndarray, weight: np.ndarray, wanted: np.ndarray, settings: dict, numbers: range) -> np.ndarray:
+        """The sum of some trees' means of y for each wanted row; weight tells how often a known row is there. Each tree has a seed of its own."""
+        total, votes = int(weight.sum()), np.zeros((len(wanted), y.shape[1]))
+        features = {"sqrt": math.isqrt(max(1, known.shape[1])), "log2": int(math.log2(max(2, known.shape[1])))}.get(settings.get("max_features"), known.shape[1])
+        centre, copies = weight @ y / total, np.repeat(np.arange(len(known)), weight)
+        for t in numbers:
+            rng = np.random.default_rng([settings.get("seed", 42), t])
+            drawn = np.bincount(copies[rng.integers(0, total, total)], minlength=len(known))
+            rows = np.flatnonzero(drawn)
+            self._grow(known[rows], y[rows] - centre, wanted, votes, rng, max(1, features), settings.get("max_depth"), settings.get("min_samples_split", 2), drawn[rows])
+        return votes + len(numbers) * centre
+
     def impute(self, known, target, wanted, kind, settings):
         if kind == "numeric":
             labels, y = None, target.astype(float)[:, None]
         else:
             labels, codes = np.unique(target.astype(str), return_inverse=True)
             y = np.eye(len(labels))[codes]
-        votes = np.zeros((len(wanted), y.shape[1]))
-        features = {"sqrt": math.isqrt(max(1, known.shape[1])), "log2": int(math.log2(max(2, known.shape[1])))}.get(settings.get("max_features"), known.shape[1])
-        trees, centre = settings.get("n_estimators", 100), y.mean(0)
-        for t in range(trees):
-            rng = np.random.default_rng([settings.get("seed", 42), t])
-            rows = rng.integers(0, len(known), len(known))
-            self._grow(known[rows], y[rows] - centre, wanted, votes, rng, max(1, features), settings.get("max_depth"), settings.get("min_samples_split", 2))
-        votes = votes / trees + centre
+        votes = self.votes(known, y, np.ones(len(known), int), wanted, settings, range(self.trees(settings))) / self.trees(settings)
         return votes[:, 0] if labels is None else labels[votes.argmax(1)].astype(object)
 
-    def _grow(self, x, y, wanted, votes, rng, features, depth, least) -> None:
+    def _grow(self, x, y, wanted, votes, rng, features, depth, least, weight=None) -> None:
         """Grows a tree level by level, all nodes of a level at once, over every cut point, and adds the means of their leaves to the votes of wanted rows.
 
-        Of each node the best cut of ``features`` random columns is taken; if these are constant in it, the next column that is not.
+        Of each node the best cut of ``features`` random columns is taken; if these are constant in it, the next column that is not. Columns of two values
+        are counted through the rows of their rarer one, the others in their order.
         """
-        node, place, asked = np.zeros(len(x), int), np.zeros(len(wanted), int), np.arange(len(wanted))
-        order, level = np.argsort(x, axis=0, kind="stable").T, 0
+        weight = np.ones(len(x)) if weight is None else weight.astype(float)
+        node, place, asked, level = np.zeros(len(x), int), np.zeros(len(wanted), int), np.arange(len(wanted)), 0
+        low, high = x.min(0, initial=np.inf), x.max(0, initial=-np.inf)
+        upper = x == high
+        two = ((x == low) | upper).all(0) & (low < high)
+        rare_high = 2 * upper.sum(0) <= len(x)
+        middle = (low + high) / 2
+        middle = np.where(middle < high, middle, low)
+        column = np.flatnonzero(two)
+        row, bit = np.nonzero((upper == rare_high)[:, column])
+        order = {f: np.argsort(x[:, f], kind="stable") for f in np.flatnonzero(~two & ~(low == high))}
         while len(asked):
+            nodes = int(node.max(initial=-1)) + 1
             by = np.argsort(node, kind="stable")
-            size = np.bincount(node)
-            starts, nodes = np.cumsum(size) - size, len(size)
-            total = np.add.reduceat(y[by], starts)
+            starts = np.searchsorted(node[by], np.arange(nodes))
+            size, sum_y = np.bincount(node, weight, nodes), y * weight[:, None]
+            total = np.add.reduceat(sum_y[by], starts)
             mixed = (np.maximum.reduceat(y[by], starts) > np.minimum.reduceat(y[by], starts)).any(1)
             grows = mixed & (size >= max(2, least)) & (np.bincount(place, minlength=nodes) > 0) & (depth is None or level < depth)
             gains, cuts = np.full((nodes, x.shape[1] + 1), -np.inf), np.zeros((nodes, x.shape[1] + 1))
-            for f, o in enumerate(order if grows.any() else ()):
+            if len(column) and grows.any():
+                cell, cells = node[row] * len(column) + bit, nodes * len(column)
+                n = np.bincount(cell, weight[row], cells).reshape(nodes, -1)
+                able = (n > 0) & (n < size[:, None]) & grows[:, None]
+                i, j = np.nonzero(able)
+                n, gain = n[i, j], np.zeros(len(i))
+                for c in range(y.shape[1]):
+                    part = np.bincount(cell, sum_y[row, c], cells).reshape(nodes, -1)[i, j]
+                    gain += part**2 / n + (total[i, c] - part) ** 2 / (size[i] - n)
+                gains[i, column[j]], cuts[i, column[j]] = gain, middle[column[j]]
+            for f, o in order.items() if grows.any() else ():
                 o = o[np.argsort(node[o], kind="stable")]
                 v, at = x[o, f], node[o]
                 i = np.flatnonzero((at[1:] == at[:-1]) & (v[1:] > v[:-1]) & grows[at[:-1]])
                 if not len(i):
                     continue
-                sums, at = np.vstack([np.zeros(y.shape[1]), np.cumsum(y[o], 0)]), at[i]
-                left, n = sums[i + 1] - sums[starts[at]], i + 1 - starts[at]
+                sums, counts, at = np.vstack([np.zeros(y.shape[1]), np.cumsum(sum_y[o], 0)]), np.cumsum(weight[o]), at[i]
+                before = starts[at]
+                left, n = sums[i + 1] - sums[before], counts[i] - counts[before] + weight[o[before]]
                 gain = (left**2).sum(1) / n + ((total[at] - left) ** 2).sum(1) / (size[at] - n)
                 which, first, back = np.unique(at, return_index=True, return_inverse=True)
                 most = np.maximum.reduceat(gain, first)
                 best = np.flatnonzero(gain == most[back])
                 best = i[best[np.unique(at[best], return_index=True)[1]]]
-                middle = (v[best] + v[best + 1]) / 2
-                gains[which, f], cuts[which, f] = most, np.where(middle < v[best + 1], middle, v[best])
-            rank = np.column_stack([rng.random((nodes, x.shape[1])).argsort(1).argsort(1), np.full(nodes, x.shape[1])])
-            least_rank = np.where(gains > -np.inf, rank, x.shape[1]).min(1, keepdims=True)
-            chosen = np.where(rank < np.maximum(features, least_rank + 1), gains, -np.inf).argmax(1)
+                half = (v[best] + v[best + 1]) / 2
+                gains[which, f], cuts[which, f] = most, np.where(half < v[best + 1], half, v[best])
+            if features < x.shape[1]:
+                rank = rng.random((nodes, x.shape[1]))
+                enough = np.partition(rank, features - 1, axis=1)[:, features - 1]
+                gains[:, :-1][rank > np.maximum(enough, np.where(gains[:, :-1] > -np.inf, rank, 2).min(1))[:, None]] = -np.inf
+            chosen = gains.argmax(1)
             splits = gains.max(1) > -np.inf
             ends = ~splits[place]
             votes[asked[ends]] += (total / size[:, None])[place[ends]]
             asked, place, keep = asked[~ends], place[~ends], splits[node]
-            order = (np.cumsum(keep) - 1)[order[keep[order]]].reshape(x.shape[1], int(keep.sum()))
-            x, y, node = x[keep], y[keep], node[keep]
+            moved = np.cumsum(keep) - 1
+            order = {f: moved[o[keep[o]]] for f, o in order.items()}
+            row, bit = moved[row[keep[row]]], bit[keep[row]]
+            x, y, node, weight = x[keep], y[keep], node[keep], weight[keep]
             number, cut = np.cumsum(splits) - 1, cuts[np.arange(nodes), chosen]
             node = 2 * number[node] + (x[np.arange(len(x)), chosen[node]] > cut[node])
             place = 2 * number[place] + (wanted[asked, chosen[place]] > cut[place])
@@ -354,8 +391,8 @@ def imputed(df: DataFrame, column: str, numeric: list[str], categorical: list[st
 
     ``part`` bounds what a task holds and doesn't change results. Rows with equal predictors get equal values, so nearest neighbours are sought once for
     each different row of predictors: a block of about so many wanted ones is compared with each block of known ones, of which the first rows of each stay,
-    and the nearest of all are kept. Regressions of numbers are fitted from moments that are summed over blocks. Logistic regressions and
-    forests learn from a whole group in one task. A group without known rows takes the overall mean or mode. No predictors: all rows are equally near.
+    and the nearest of all are kept. Regressions of numbers are fitted from moments that are summed over blocks. Trees of a forest are
+    grown ten to a task from the different rows of a whole group and how often each is there; logistic regressions learn from a whole group in one task. A group without known rows takes the overall mean or mode. No predictors: all rows are equally near.
     """
     settings, chosen = settings or {}, method(name)
     out, id_type = "double" if kind == "numeric" else "string", dict(df.dtypes)[row_id]
@@ -432,6 +469,30 @@ def imputed(df: DataFrame, column: str, numeric: list[str], categorical: list[st
         models = sums.groupBy("_by").applyInPandas(fitted, f"_by {by_type}, _b array<double>")
         terms = F.zip_with(F.concat("_x", F.array(F.lit(1.0))), "_b", lambda a, b: a * b)
         got = rows.where("_y is null").join(models, "_by").select(row_id, F.aggregate(terms, F.lit(0.0), lambda s, t: s + t).alias("value"))
+    elif isinstance(chosen, Forest):
+        trees, labels = chosen.trees(settings), None if kind == "numeric" else rows.where("_y is not null").groupBy("_by").agg(F.array_sort(F.collect_set("_y")).alias("_labels"))
+        turns = F.explode(F.sequence(F.lit(0), F.lit((trees - 1) // chosen.chunk))).alias("_t")
+        known = rows.where("_y is not null").groupBy("_by", "_x", "_y").agg(F.count("*").alias("_n")).select("*", turns)
+        wanted = rows.where("_y is null").select("_by", "_x").distinct().select("*", turns)
+
+        def grown(pdf: pd.DataFrame) -> pd.DataFrame:
+            known, wanted, t = pdf[pdf["_n"].notna()], pdf[pdf["_n"].isna()], int(pdf["_t"].iloc[0]) * chosen.chunk
+            x, y = matrix(known), known["_y"].to_numpy()
+            levels, codes = np.unique(y if kind == "numeric" else y.astype(str), return_inverse=True)
+            by = np.lexsort((codes, *x.T))  # the same trees however the rows come
+            y = (levels[codes].astype(float)[:, None] if kind == "numeric" else np.eye(len(levels))[codes])[by]
+            votes = chosen.votes(x[by], y, known["_n"].to_numpy().astype(int)[by], matrix(wanted), settings, range(t, min(trees, t + chosen.chunk)))
+            return pd.DataFrame({"_by": wanted["_by"].to_numpy(), "_x": wanted["_x"].to_numpy(), "_t": t, "_v": list(votes)})
+
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = known.unionByName(wanted, allowMissingColumns=True).repartition(tasks, "_by", "_t").groupBy("_by", "_t").applyInPandas(grown, f"_by {by_type}, _x array<double>, _t int, _v array<double>")
+        votes = pairs.groupBy("_by", "_x").agg(F.array_sort(F.collect_list(F.struct("_t", "_v")))["_v"].alias("_v"))
+        votes = votes.select("_by", "_x", F.reduce(F.slice("_v", 2, trees), F.col("_v")[0], lambda a, b: F.zip_with(a, b, lambda p, q: p + q)).alias("_v"))
+        if labels is None:
+            values = votes.select("_by", "_x", (F.col("_v")[0] / trees).alias("value"))
+        else:
+            values = votes.join(labels, "_by").select("_by", "_x", F.col("_labels")[(F.array_position("_v", F.array_max("_v")) - 1).cast("int")].alias("value"))
+        got = rows.where("_y is null").select(row_id, "_by", "_x").join(values, ["_by", "_x"]).select(row_id, "value")
     else:
 
         def fill(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -374,6 +374,54 @@ def test_nearest_rows_are_sought_once_for_equal_predictors(spark, monkeypatch):
                 assert got[r.row_id] == min(near, key=lambda v: (-near.count(v), v))
 
 
+def test_trees_of_rows_counted_once_are_those_of_all_rows():
+    rng = np.random.default_rng(8)
+    level = rng.integers(0, 6, 150)
+    x = np.column_stack([np.round(rng.random(150), 1), *[(level == i).astype(float) for i in range(6)], rng.random(150) < 0.8, rng.random(150), np.ones(150)])
+    y, weight, wanted = rng.normal(size=(150, 2)), rng.integers(1, 5, 150), x[rng.permutation(150)[:60]]
+
+    def plain(rows, q, depth):
+        here = np.repeat(rows, weight[rows])
+        mean = y[here].mean(0)
+        loss = lambda r: ((y[r] - y[r].mean(0)) ** 2).sum()
+        cuts = [(loss(here[m]) + loss(here[~m]), f, c) for f in range(x.shape[1]) for c in np.unique(x[rows, f])[:-1] for m in [x[here, f] <= c]]
+        if not depth or len(here) < 4 or not cuts:
+            return mean
+        _, f, c = min(cuts)
+        after = x[rows, f][x[rows, f] > c].min()
+        return plain(rows[x[rows, f] <= c] if q[f] <= (c + after) / 2 else rows[x[rows, f] > c], q, depth - 1)
+
+    for depth in (1, 4, 12):
+        votes = np.zeros((60, 2))
+        imputation.Forest()._grow(x, y, wanted, votes, rng, x.shape[1], depth, 4, weight)
+        assert np.allclose(votes, [plain(np.arange(150), q, depth) for q in wanted])
+    settings = {"max_features": "sqrt", "min_samples_split": 3}
+    once = imputation.Forest().votes(x, y, weight, wanted, settings, range(3, 9))
+    again = [imputation.Forest().votes(np.repeat(x, weight, 0), np.repeat(y, weight, 0), np.ones(weight.sum(), int), wanted, settings, range(*r)) for r in ((3, 5), (5, 9))]
+    assert np.allclose(once, again[0] + again[1])
+
+
+def test_forests_are_grown_in_several_tasks_of_different_rows(spark, monkeypatch):
+    class Strict(imputation.Forest):
+        def _grow(self, x, y, *rest):
+            self.grown = getattr(self, "grown", 0) + 1
+            if len(np.unique(np.column_stack([x, y]), axis=0)) < len(x):
+                raise ValueError("a row is there twice")
+            return super()._grow(x, y, *rest)
+
+        def votes(self, *rest):
+            self.grown = 0
+            votes = super().votes(*rest)
+            if self.grown > 10:
+                raise ValueError("too many trees in a task")
+            return votes
+
+    monkeypatch.setitem(imputation.METHODS, "missforest", Strict)
+    df = spark.range(900).selectExpr("id as row_id", "cast(id % 3 as string) as survey", "id * 7 % 90 as u").selectExpr("*", "case when row_id % 10 > 1 then u % 5 * 10.0D end as y", "cast(u % 5 as double) as x", "concat('b', u % 4) as brand")
+    got = imputation.imputed(df, "y", ["x"], ["brand"], "survey", "missforest", {"n_estimators": 25, "max_features": None}).collect()
+    assert len(got) == 180 and all(abs(r.value - r.row_id * 7 % 90 % 5 * 10) < 1e-6 for r in got)
+
+
 def test_mean_intervals_of_groups_of_any_size(spark, monkeypatch):
     from gridloom import catalog
     from gridloom.plans import stats as plans
