@@ -1,6 +1,8 @@
 """Properties, published values and reference implementations of operators that SQL can't express."""
 
 import math
+import tracemalloc
+import warnings
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -422,6 +424,32 @@ def test_forests_are_grown_in_several_tasks_of_different_rows(spark, monkeypatch
     assert len(got) == 180 and all(abs(r.value - r.row_id * 7 % 90 % 5 * 10) < 1e-6 for r in got)
 
 
+@pytest.mark.parametrize(("metric", "p"), [("euclidean", None), ("manhattan", None), ("chebyshev", None), ("minkowski", 3), ("hamming", None)])
+def test_nearest_rows_are_those_of_brute_force(metric, p):
+    rng = np.random.default_rng(5)
+    numbers = np.round(rng.random((700, 3)) * 10, 1)
+    odd = numbers.copy()
+    odd[rng.integers(0, 700, 40), rng.integers(0, 3, 40)] = rng.choice([np.nan, np.inf, -np.inf, 1e300], 40)
+    search = imputation.NearestNeighbours()
+    for x in (numbers, np.column_stack([numbers[:, :1] * 10, np.eye(9)[rng.integers(0, 9, 700)]]), odd, numbers[:, :0], numbers[:4]):
+        known, wanted = x[: len(x) * 3 // 4], x[len(x) * 3 // 4 :]
+        settings = {"n_neighbors": 7, "metric": metric, "p": p}
+        with np.errstate(all="ignore"), warnings.catch_warnings(action="ignore"):
+            d, near = search.nearest(known, wanted, settings)
+            every = search.distances(np.abs(wanted[:, None, :] - known), settings)
+        first = np.argsort(every, axis=1, kind="stable")[:, :7]
+        assert (near == first).all() and np.array_equal(d, np.take_along_axis(every, first, 1), equal_nan=True)
+
+
+def test_nearest_rows_are_found_without_a_matrix_of_all_pairs():
+    x = np.random.default_rng(6).random((6000, 1))
+    tracemalloc.start()
+    d, near = imputation.NearestNeighbours().nearest(x[:3000], x[3000:], {"n_neighbors": 5})
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert d.shape == near.shape == (3000, 5) and most < 3000 * 3000 * 8 / 2
+
+
 def test_mean_intervals_of_groups_of_any_size(spark, monkeypatch):
     from gridloom import catalog
     from gridloom.plans import stats as plans
