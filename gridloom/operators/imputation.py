@@ -386,8 +386,8 @@ def encoded(df: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[
     return whole.withColumns(made) if made else whole, names
 
 
-def imputed(df: DataFrame, column: str, numeric: list[str], categorical: list[str], by: str, name: str = "knn", settings: dict | None = None, kind: str = "numeric", row_id: str = "row_id", part: int = 20_000) -> DataFrame:
-    """row_id and value for each row of df in which the column is null, group by group, from all known rows of the group.
+def imputed(df: DataFrame, column: str, numeric: list[str], categorical: list[str], by: str, name: str = "knn", settings: dict | None = None, kind: str = "numeric", row_id: str = "row_id", part: int = 20_000, only: str | None = None) -> DataFrame:
+    """row_id and value for each row of df in which the column is null, group by group, from all known rows of the group; with ``only``, for those of them that have it true.
 
     ``part`` bounds what a task holds and doesn't change results. Rows with equal predictors get equal values, so nearest neighbours are sought once for
     each different row of predictors: a block of about so many wanted ones is compared with each block of known ones, of which the first rows of each stay,
@@ -396,8 +396,9 @@ def imputed(df: DataFrame, column: str, numeric: list[str], categorical: list[st
     """
     settings, chosen = settings or {}, method(name)
     out, id_type = "double" if kind == "numeric" else "string", dict(df.dtypes)[row_id]
-    whole, names = encoded(df.withColumns({"_by": F.col(by), "_y": F.col(column).cast(out)}).drop(column), numeric, categorical)
-    base = whole.select(row_id, "_by", "_y", F.array(*[F.col(c).cast("double") for c in names]).cast("array<double>").alias("_x"))
+    whole, names = encoded(df.withColumns({"_by": F.col(by), "_y": F.col(column).cast(out), "_only": F.col(only) if only else F.lit(True)}).drop(column), numeric, categorical)
+    base = whole.select(row_id, "_by", "_y", "_only", F.array(*[F.col(c).cast("double") for c in names]).cast("array<double>").alias("_x"))
+    base = base.where("_y is not null or _only").drop("_only")
     by_type = dict(base.dtypes)["_by"]
     blocks = lambda n: F.ceil(n / part).cast("int")
     sizes = base.groupBy("_by").agg(blocks(F.count("_y")).alias("_known"), blocks(F.count("*") - F.count("_y")).alias("_wanted"))
@@ -508,8 +509,8 @@ def holdout_error(df: DataFrame, column: str, numeric: list[str], categorical: l
     from gridloom.operators.stats import imputation_error
 
     hidden = hidden_rows(df, column, row_id)
-    masked = df.join(hidden.select(row_id, F.lit(True).alias("_h")), row_id, "left").withColumn(column, F.when(F.col("_h").isNull(), F.col(column))).drop("_h")
-    guesses = imputed(masked, column, numeric, categorical, by, name, settings, kind, row_id)
+    masked = df.join(hidden.select(row_id, F.lit(True).alias("_h")), row_id, "left").withColumn(column, F.when(F.col("_h").isNull(), F.col(column)))
+    guesses = imputed(masked, column, numeric, categorical, by, name, settings, kind, row_id, only="_h")
     return imputation_error(hidden.join(guesses, row_id), "actual", "value", kind)
 
 

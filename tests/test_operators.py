@@ -450,6 +450,26 @@ def test_nearest_rows_are_found_without_a_matrix_of_all_pairs():
     assert d.shape == near.shape == (3000, 5) and most < 3000 * 3000 * 8 / 2
 
 
+def test_holdout_error_is_that_of_brute_force_over_the_hidden_rows_alone(spark, monkeypatch):
+    class Strict(imputation.NearestNeighbours):
+        def nearest(self, known, wanted, settings):
+            if (wanted[:, 0] >= 1000).any():
+                raise ValueError("a row that isn't hidden")
+            return super().nearest(known, wanted, settings)
+
+    monkeypatch.setitem(imputation.METHODS, "knn", Strict)
+    df = spark.range(400).selectExpr("id as row_id", "cast(id % 2 as string) as survey", "id % 4 = 3 as gone", "cast(id * 37 % 101 as double) as a", "concat('b', id * 13 % 17 % 5) as brand")
+    df = df.selectExpr("row_id", "survey", "case when not gone then cast(row_id * 17 % 31 as double) end as y", "case when gone then a + 1000 else a end as a", "brand")
+    hidden = dict(imputation.hidden_rows(df, "y").collect())
+    known = [r for r in df.collect() if r.y is not None and r.row_id not in hidden]
+    off = []
+    for w in df.where(F.col("row_id").isin(list(hidden))).collect():
+        near = sorted((k for k in known if k.survey == w.survey), key=lambda k: ((k.a - w.a) ** 2 + 2 * (k.brand != w.brand), k.row_id))[:7]
+        off.append((sum(k.y for k in near) / 7 - hidden[w.row_id]) ** 2)
+    error = one(imputation.holdout_error(df, "y", ["a"], ["brand"], "survey", "knn", {"n_neighbors": 7}))
+    assert abs(error - math.sqrt(sum(off) / len(off)) / (max(hidden.values()) - min(hidden.values()))) < 1e-9
+
+
 def test_mean_intervals_of_groups_of_any_size(spark, monkeypatch):
     from gridloom import catalog
     from gridloom.plans import stats as plans
