@@ -470,6 +470,31 @@ def test_holdout_error_is_that_of_brute_force_over_the_hidden_rows_alone(spark,
     assert abs(error - math.sqrt(sum(off) / len(off)) / (max(hidden.values()) - min(hidden.values()))) < 1e-9
 
 
+def test_methods_are_compared_over_different_rows(spark, monkeypatch, tmp_path):
+    from gridloom import catalog
+
+    def different(x):
+        if len(np.unique(x, axis=0)) < len(x):
+            raise ValueError("a row is there twice")
+
+    class Neighbours(imputation.NearestNeighbours):
+        def nearest(self, known, wanted, settings):
+            different(known)
+            return super().nearest(known, wanted, settings)
+
+    class Trees(imputation.Forest):
+        def _grow(self, x, y, *rest):
+            different(np.column_stack([x, y]))
+            return super()._grow(x, y, *rest)
+
+    monkeypatch.setitem(imputation.METHODS, "knn", Neighbours)
+    monkeypatch.setitem(imputation.METHODS, "missforest", Trees)
+    spark.range(3000).selectExpr("id as p_partkey", "concat('b', id % 4) as p_brand", "concat('t', id % 5) as p_type", "cast(id * 7 % 50 as int) as p_size", "cast(id % 50 as double) as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.method: r for r in catalog.QUERIES["m9_best_method"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"knn", "mice", "missforest"} and got["knn"].error < 1e-9 and got["missforest"].error < 0.05 < got["mice"].error
+    assert [k for k in got if got[k].chosen] == ["knn"]
+
+
 def test_mean_intervals_of_groups_of_any_size(spark, monkeypatch):
     from gridloom import catalog
     from gridloom.plans import stats as plans
