@@ -18,17 +18,17 @@ text; a null doc_id sorts first; an empty table gives no shard and no row; other
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -51,29 +51,47 @@ class TokenFileConfig:
     batches_per_task: int = 64
 
 
-class _Memo:
-    """A dictionary of bounded size: what wasn't asked for during the last ``most`` new entries is forgotten."""
-
-    def __init__(self, most: int) -> None:
-        self.most, self.now, self.before = most, {}, {}
-
-    def missing(self, keys: set[bytes]) -> list[bytes]:
-        """Keys without a value; the others are all in ``now`` afterwards."""
-        out = []
-        for k in keys.difference(self.now):
-            v = self.before.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                self.now[k] = v
-        return out
+_WORD, _IDS = pa.large_string(), pa.large_binary()
+
 
-    def trim(self) -> None:
-        if len(self.now) > self.most:
-            self.now, self.before = {}, self.now
+def _pieces(kind: pa.DataType, ends: np.ndarray, data: pa.Buffer | None) -> pa.Array:
+    """Consecutive pieces of a buffer as an array; ends begins with where the first one starts."""
+    return pa.Array.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), data or pa.py_buffer(b"")])
 
 
-_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+def _ends(x: pa.Array) -> np.ndarray:
+    """Where the pieces of an array of large strings or bytes begin in its buffer, and where the last one ends."""
+    return np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int64)
+
+
+class _Memo:
+    """Ids of parts of words, as arrays of bounded size: what wasn't asked for during the last ``most`` new entries is forgotten."""
+
+    def __init__(self, most: int, encode: Callable[[pa.Array], tuple[pa.Array, pa.Array]]) -> None:
+        self.most, self.encode = most, encode
+        self.now = self.before = (pa.array([], _WORD), pa.array([], _IDS))
+
+    def __call__(self, parts: pa.Array) -> pa.Array:
+        """Ids of different parts."""
+        known, n = self.now, len(self.now[0])
+        at = pc.index_in(parts, value_set=known[0]).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            missing = parts.take(pa.array(new))
+            back = pc.index_in(missing, value_set=self.before[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+            seen = back >= 0
+            words, ids = self.encode(missing.filter(pa.array(~seen)))
+            again = pa.array(back[seen])
+            known = self.now = tuple(pa.concat_arrays(x) for x in ((known[0], self.before[0].take(again), words), (known[1], self.before[1].take(again), ids)))
+            at[new[seen]] = n + np.arange(len(again))
+            order = pc.index_in(missing.filter(pa.array(~seen)), value_set=words).to_numpy()
+            at[new[~seen]] = n + len(again) + order
+        if len(known[0]) > self.most or known[0].nbytes > 100 * self.most:
+            self.now, self.before = (pa.array([], _WORD), pa.array([], _IDS)), known
+        return known[1].take(pa.array(at))
+
+
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _separates_words(described: dict) -> bool:
@@ -94,8 +112,9 @@ def _separates_words(described: dict) -> bool:
 class Encoder:
     """Ids of texts as bytes: 16 bits each where the vocabulary allows it, else 32.
 
-    A word's ids are looked up. A new word is cut into what ends with a letter or digit and the ASCII punctuation behind it, which the vocabularies
-    meant here never join; the parts are looked up too, with A-Z lower-cased if the tokenizer does that, and only new parts are encoded.
+    A text's words are looked up together, in Arrow's kernels: no Python object is made for a word, only for parts that are new. Where the tokenizer splits
+    letters from punctuation (its pattern says so), a word is cut into what ends with a letter or digit and the ASCII punctuation behind it, and A-Z are lower-cased
+    if the tokenizer does that.
     """
 
     def __init__(self, config: TokenFileConfig) -> None:
@@ -107,68 +126,85 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), config.end_id + 1) <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([config.end_id], self.dtype).tobytes()
-        self.memo = _Memo(config.memo)
+        self.memo = _Memo(config.memo, self._encode_parts)
         self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbZ") == "abz"
 
         self.closes = self.bare = None
+        self.cuts = False
         described = json.loads(self.tokenizer.to_str())
         self.whole_texts = config.whole_texts or not _separates_words(described)
         suffix = described["model"].get("end_of_word_suffix")
         if suffix and self.lower and "[\\\\p{L}]+" in json.dumps(described["pre_tokenizer"]):
             self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+            self.cuts = all("<|" in t["content"] for t in described["added_tokens"])
             described |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}}
             self.bare = Tokenizer.from_str(json.dumps(described))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of words or parts. Those of letters alone, which neither normalizing nor splitting changes, are encoded as one text by the model itself; each
-        ends with the only id that closes a word in it."""
-        plain = [i for i, p in enumerate(parts) if p.isalpha() and p == p.lower() and is_normalized("NFC", p)] if self.bare is not None else []
-        out: list[bytes] = [b""] * len(parts)
+    def _encode_parts(self, parts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Words or parts, in an order of its own, and their ids. Those of letters alone, which neither normalizing nor splitting changes, are encoded as one text
+        by the model itself; each ends with the only id that closes a word in it."""
+        plain, rest = [], []
+        for p in parts.to_pylist():
+            (plain if self.bare is not None and p.isalpha() and (p.islower() if p.isascii() else p == p.lower() and is_normalized("NFC", p)) else rest).append(p)
+        done, ids, sizes = [], [], []
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
-            ids = np.array(self.bare.encode_batch_fast([" ".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, self.dtype)
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            here = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.closes[here]) + 1
             if len(ends) == len(some):
-                raw, size, begin = ids.tobytes(), self.dtype.itemsize, 0
-                for i, end in zip(some, ends, strict=True):
-                    out[i] = raw[begin * size : end * size]
-                    begin = end
-        rest = [i for i, x in enumerate(out) if not x]
-        for i, x in zip(rest, self._encode([parts[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
-
-    def _cut(self, word: bytes) -> tuple[bytes, bytes]:
-        core = word.rstrip(_TAIL)
-        tail = word[len(core) :]
-        if tail and (not core or b"'" in word or b"<|" in word or not (core[-1:].isalnum() or core.decode()[-1].isalnum())):
-            core, tail = word, b""
-        return core.lower() if self.lower and b"<|" not in core else core, tail
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+                done += some
+                ids.append(here)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                rest += some
+        for at in range(0, len(rest), 2000):
+            some = self._encode(rest[at : at + 2000])
+            ids.append(np.frombuffer(b"".join(some), self.dtype))
+            sizes.append(np.array([len(x) for x in some]) // self.dtype.itemsize)
+        ends = np.concatenate([[0], *sizes]).cumsum() * self.dtype.itemsize
+        return pa.array(done + rest, _WORD), _pieces(_IDS, ends, pa.py_buffer(b"".join(x.tobytes() for x in ids)))
+
+    def _parts(self, words: pa.Array) -> pa.Array:
+        """Two parts of each word, one after the other; the second one may be empty."""
+        begins = _ends(words)
+        core = pc.ascii_rtrim(words, characters=_TAIL)
+        size = pc.binary_length(core).to_numpy().copy()
+        tailed = np.flatnonzero(size < np.diff(begins))
+        some = words.take(pa.array(tailed))
+        last = pc.utf8_slice_codeunits(core.take(pa.array(tailed)), -1).dictionary_encode()
+        letter = np.array([c.isalnum() and c.lower().isalnum() and is_normalized("NFC", c) for c in last.dictionary.to_pylist()], bool)[last.indices.to_numpy()]
+        whole = tailed[~letter | pc.match_substring(some, "'").to_numpy(zero_copy_only=False) | pc.match_substring(some, "<|").to_numpy(zero_copy_only=False)]
+        size[whole] = np.diff(begins)[whole]
+        ends = np.empty(2 * len(words) + 1, np.int64)
+        ends[::2], ends[1::2] = begins, begins[:-1] + size
+        parts = _pieces(_WORD, ends, words.buffers()[2])
+        return pc.if_else(pc.match_substring(parts, "<|"), parts, pc.ascii_lower(parts)) if self.lower else parts
+
+    def _look_up(self, words: pa.Array) -> pa.Array:
+        """Ids of different words."""
+        if not self.cuts:
+            return self.memo(words)
+        parts = self._parts(words).dictionary_encode()
+        ids = self.memo(parts.dictionary).take(parts.indices)
+        return _pieces(_IDS, _ends(ids)[::2], ids.buffers()[2])
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text (null: none) with the end id."""
         if self.whole_texts:
-            return [x + self.end for x in self._encode(texts)]
-        rows = [t.encode().split() for t in texts]
-        if new := self.memo.missing(set().union(*rows)):
-            self._learn(new)
-        get = self.memo.now.__getitem__
-        out = [b"".join(map(get, row)) + self.end for row in rows]
-        self.memo.trim()
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Words and their parts are kept in one dictionary, as most parts are words too."""
-        cut = {w: self._cut(w) for w in words if not (w.isalpha() and w.islower())}
-        parts = {p for c in cut.values() for p in c if p}
-        parts.update(w for w in words if w not in cut)
-        fresh = self.memo.missing(parts)
-        known = self.memo.now
-        known.update(zip(fresh, self._encode_parts([p.decode() for p in fresh]), strict=True))
-        known.update([(w, known[a] + known[b] if b else known[a]) for w, (a, b) in cut.items()])
+            texts = [t or "" for t in (texts if isinstance(texts, list) else texts.to_pylist())]
+            return [x + self.end for at in range(0, len(texts), 64) for x in self._encode(texts[at : at + 64])]
+        rows = pc.ascii_split_whitespace((pa.array(texts, _WORD) if isinstance(texts, list) else texts.cast(_WORD)).fill_null(""))
+        words = rows.flatten().dictionary_encode()
+        if not len(words):
+            return [self.end] * len(rows)
+        ids = self._look_up(words.dictionary).take(words.indices)
+        at = _ends(ids)[rows.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) + self.end for a, b in zip(at, at[1:], strict=False)]
 
 
 _ENCODERS: dict[TokenFileConfig, Encoder] = {}
@@ -262,6 +298,24 @@ def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of up to ``most`` bytes of text (and 64 for each row), or of one row: the more words come together, the fewer are looked up twice."""
+    held, size = [], 0
+    for x in batches:
+        ends = np.cumsum(pc.binary_length(x.column(1)).fill_null(0).to_numpy(zero_copy_only=False) + np.int64(64))
+        at = past = 0
+        while at < x.num_rows:
+            to = max(int(np.searchsorted(ends, past + most - size, "right")), at if held else at + 1)
+            if to > at:
+                held.append(x.slice(at, to - at))
+                size, past, at = size + int(ends[to - 1]) - past, int(ends[to - 1]), to
+            if at < x.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_shards(docs: DataFrame, folder: str, config: TokenFileConfig) -> list[tuple[int, int, int, int, int]]:
     """Writes the shards and returns (task, part, documents, ids, batches) of each, in order. docs: doc_id, text."""
 
@@ -284,26 +338,20 @@ def write_shards(docs: DataFrame, folder: str, config: TokenFileConfig) -> list[
                 where.move(temporary, name)
             done.append((shard, len(done), n, writer.count, -(-writer.count // writer.size)))
 
-        gc.disable()  # words and ids are no cycles, but there are many of them
-        try:
-            for x in batches:
-                for at in range(0, x.num_rows, 256):
-                    some = x.slice(at, 256)
-                    encode = encode or encoder(config)
-                    for doc, ids in zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                        if writer is None:
-                            where.create_dir(path, recursive=True)
-                            sink = where.open_output_stream(temporary)
-                            writer, n = ShardWriter(sink, encode.dtype, config), 0
-                        writer.add(doc, ids)
-                        n += 1
-                        if writer.count >= config.shard_ids:
-                            closed()
-                            writer = None
-            if writer is not None:
-                closed()
-        finally:
-            gc.enable()
+        for x in _blocks(batches):
+            encode = encode or encoder(config)
+            for doc, ids in zip(x.column(0).to_pylist(), encode(x.column(1)), strict=True):
+                if writer is None:
+                    where.create_dir(path, recursive=True)
+                    sink = where.open_output_stream(temporary)
+                    writer, n = ShardWriter(sink, encode.dtype, config), 0
+                writer.add(doc, ids)
+                n += 1
+                if writer.count >= config.shard_ids:
+                    closed()
+                    writer = None
+        if writer is not None:
+            closed()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in range(5)], ["shard", "part", "documents", "ids", "batches"])
 
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
