@@ -10,7 +10,8 @@ a six-word run inside a window) is a segment. Equal windows have equal minimizer
    single edges, read from the source coordinates in the texts, and grouped by digests of their words; other occurrences repeat the first.
 3. The repeated edges, long and single ones, are a graph: each leads from the node of its first words to that of its last. An
    aggregation counts the edges that end and begin in each node. Where one ends and one begins, as often as each other, and the second follows the first at its
-   source, they are linked; joins that double the distance at each round bring every edge to the head of its path.
+   source, they are linked. Links are followed inside blocks of 1024 words of a source first; joins that double the distance at each round bring the
+   pieces of paths that cross blocks to the heads of their paths.
 4. A join takes the paths to their occurrences, which are verified by their coordinates: a path's edges stand in a document at the same distances as at its source.
    Whole occurrences are one span, others fall back to their edges. Every occurrence of an edge but the first in the corpus is removed.
 
@@ -32,12 +33,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm._shared import removed, shared_folder, stored
 from gridloom.llm._words import Words, chunks
 
+#: Words of a source, as a power of two, within which links are followed in one task.
+BLOCK_BITS = 10
+
 
 @dataclass(frozen=True)
 class SubstringConfig:
@@ -144,24 +148,39 @@ def _named(rows: DataFrame, *others: str) -> DataFrame:
     return rows.select(*others, F.col("first.doc").alias("fd"), F.col("first.r").alias("fr"), F.shiftright("first.at", 32).cast("int").alias("fs"), F.col("first.at").bitwiseAND((1 << 32) - 1).cast("int").alias("fn"))
 
 
+def _links(graph: DataFrame) -> DataFrame:
+    """Edges (fd, fr, fs) and the start of the edge before each (before): nodes in which one edge ends and one begins, with the same coordinates and times."""
+    ends = graph.select(F.col("v").alias("node"), "fd", "fr", (F.col("fs") + F.col("fn")).alias("fs"), "times", F.col("fs").alias("before"))
+    ends = ends.union(graph.select(F.col("u").alias("node"), "fd", "fr", "fs", "times", F.lit(None).cast("int")))
+    same = [*_FIRST, "times"]
+    degrees = ends.groupBy("node").agg(F.count("*").alias("ends"), F.count("before").alias("into"), F.max("before").alias("before"), *[f(c).alias(f"{f.__name__}_{c}") for c in same for f in (F.min, F.max)])
+    return degrees.where(" and ".join(["ends = 2 and into = 1", *[f"min_{c} = max_{c}" for c in same]])).select(*[F.col(f"min_{c}").alias(c) for c in _FIRST], "before")
+
+
 def _heads(graph: DataFrame, folder: str) -> DataFrame:
     """Edges (fd, fr, fs) and the start of the path that they lie on (ps). graph: fd, fr, fs, fn, times, u, v of each repeated edge."""
-    ends = graph.select(F.col("v").alias("node"), F.lit(1).alias("into"), F.lit(0).alias("out")).union(graph.select("u", F.lit(0), F.lit(1)))
-    plain = ends.groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out")).where("into = 1 and out = 1").select("node")
-    before = graph.select(F.col("v").alias("node"), F.col("fd").alias("_d"), F.col("fr").alias("_r"), F.col("fs").alias("before"), (F.col("fs") + F.col("fn")).alias("end"), F.col("times").alias("_t"))
-    follows = (F.col("fd") == F.col("_d")) & (F.col("fr") == F.col("_r")) & (F.col("fs") == F.col("end")) & (F.col("times") == F.col("_t"))
-    linked = graph.withColumnRenamed("u", "node").join(plain, "node").join(before, "node").where(follows).select(*_FIRST, "before")
-    edges = graph.select(*_FIRST).join(linked, _FIRST, "left")
-    state = stored(edges.select(*_FIRST, F.coalesce("before", "fs").alias("ps"), F.col("before").isNull().alias("done")), f"{folder}/heads-0")
+    block = lambda c: F.shiftright(c, BLOCK_BITS)
+    edges = graph.select(*_FIRST, F.lit(None).cast("int").alias("before")).unionByName(_links(graph)).withColumn("block", block("fs"))
+    edges = edges.repartition("fd", "fr", "block").groupBy("fd", "fr", "block", "fs").agg(F.max("before").alias("before"))
+    # Links inside a block of a source lead from edge to next edge: at most as many rows as a block has words.
+    outside = F.when(block("before") != F.col("block"), F.col("before"))
+    opens = F.when(F.col("before").isNull() | outside.isNotNull(), F.col("fs"))
+    piece = F.last(opens, ignorenulls=True).over(Window.partitionBy("fd", "fr", "block").orderBy("fs"))
+    pieces = stored(edges.select(*_FIRST, piece.alias("ps"), outside.alias("before")), f"{folder}/pieces")
+    # Pieces of paths that go on from another block: joins double their reach.
+    linked = stored(pieces.where("before is not null").select(*_FIRST, "before"), f"{folder}/linked-pieces")
+    state = linked.join(pieces.select("fd", "fr", F.col("fs").alias("before"), "ps"), ["fd", "fr", "before"]).select(*_FIRST, "ps", F.lit(False).alias("done"))
+    state = stored(state, f"{folder}/heads-0")
     k = 0
     while not state.where("not done").isEmpty():
-        # Those on their way ask distinct edges, as far off as all rounds before together; heads are asked by none of those that have found them.
+        # Those on their way ask distinct pieces, as far off as all rounds before together; what isn't in the table begins a path.
         asked = state.select("fd", "fr", F.col("fs").alias("ps"), F.col("ps").alias("_ps"), F.col("done").alias("_done"))
-        gone = state.where("not done").drop("done").join(asked, ["fd", "fr", "ps"]).select(*_FIRST, F.col("_ps").alias("ps"), F.col("_done").alias("done"))
+        gone = state.where("not done").drop("done").join(asked, ["fd", "fr", "ps"], "left").select(*_FIRST, F.coalesce("_ps", "ps").alias("ps"), F.coalesce("_done", F.lit(True)).alias("done"))
         after = stored(state.where("done").unionByName(gone), f"{folder}/heads-{k + 1}")
         removed(graph.sparkSession, f"{folder}/heads-{k}")
         state, k = after, k + 1
-    return state.drop("done")
+    found = state.select("fd", "fr", F.col("fs").alias("ps"), F.col("ps").alias("_ps"))
+    return pieces.drop("before").join(found, ["fd", "fr", "ps"], "left").select(*_FIRST, F.coalesce("_ps", "ps").alias("ps"))
 
 
 def _rows(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -205,11 +224,11 @@ def _spans(docs: DataFrame, config: SubstringConfig, folder: str) -> tuple[DataF
     # An occurrence of a path in a document: its edges stand at the same distances as at the source.
     later = met.where("not branching").select("doc", "r", "start", "n", *_FIRST).unionByName(single.select("doc", "r", "start", "n", *_FIRST)).where(~at_source)
     placed = later.join(heads, _FIRST).select("doc", "r", "start", "n", "fd", "fr", "ps", (F.col("start") - F.col("fs") + F.col("ps")).alias("at"))
-    which = ["doc", "r", "fd", "fr", "ps", "at"]
-    held = stored(placed.groupBy(*which).agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"), F.sum("n").alias("n")), f"{folder}/path-spans")
-    whole = held.where("n = stop - start").select("doc", "r", "start", F.col("n").cast("int"))
-    loose = placed.join(held.where("n <> stop - start").select(*which), which, "left_semi").select("doc", "r", "start", "n")
-    return paths, whole.unionByName(loose).unionByName(copies)
+    place = Window.partitionBy("doc", "at", "r", "fd", "fr", "ps")  # no more edges than the path has
+    held = placed.select("doc", "r", "start", "n", F.min("start").over(place).alias("from"), F.max(F.col("start") + F.col("n")).over(place).alias("to"), F.sum("n").over(place).alias("held"))
+    whole = F.col("held") == F.col("to") - F.col("from")
+    found = held.where(~whole | (F.col("start") == F.col("from"))).select("doc", "r", "start", F.when(whole, F.col("held").cast("int")).otherwise(F.col("n")).alias("n"))
+    return paths, found.unionByName(copies)
 
 
 def repeated_spans(docs: DataFrame, config: SubstringConfig = SubstringConfig(), folder: str | None = None) -> tuple[DataFrame, DataFrame]:

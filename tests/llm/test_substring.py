@@ -70,3 +70,24 @@ def test_awkward_rows(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed) for r in S.deduplicated(other).collect()) == [(1, 60, 0), (2, 2, 0), (2, 40, 40), (2, 100, 99)]
     twice = docs.where("doc_id = 4").union(docs.where("doc_id = 4"))
     assert [r.n_removed for r in S.deduplicated(twice).collect()] == [0, 0]
+
+
+def test_edges_of_long_paths_are_not_joined_in_every_round(spark, monkeypatch):
+    rows = {}
+
+    def counted(df, path, stored=S.stored):
+        out = stored(df, path)
+        rows[path.rsplit("/", 1)[-1]] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "stored", counted)
+    a, b = [f"a{i}" for i in range(9_000)], [f"b{i}" for i in range(700)]
+    docs = spark.createDataFrame([(1, " ".join(["p"] * 1500 + a)), (2, " ".join(a)), (3, " ".join(b)), (4, " ".join(["q", *b]))], "doc_id bigint, text string")
+    paths, spans = S.repeated_spans(docs)
+    assert sorted(map(tuple, paths.collect())) == [(1, 0, 0, 1, 1481), (1, 0, 1500, 8981, 2), (3, 0, 0, 681, 2)]
+    covered = {}
+    for r in spans.collect():
+        covered.setdefault(r.doc, set()).update(range(r.start, r.start + r.n + 19))
+    assert covered == {1: set(range(1, 1500)), 2: set(range(9_000)), 4: set(range(1, 701))}
+    rounds = {k: n for k, n in rows.items() if k.startswith("heads-")}
+    assert rounds and sum(rounds.values()) < rows["graph"] / 10
